@@ -44,20 +44,31 @@ def first_mentions(found: DataFrame, left_to_right: bool = False) -> DataFrame:
 def with_ordinals(
     df: DataFrame, keys: list[str], seq: str, tie: list[str], name: str = "n"
 ) -> DataFrame:
-    """``row_number`` per ``keys`` that no single group can overload.
+    """``row_number`` per ``keys`` that no single group can overload."""
+    return with_running_total(df, keys, seq, tie, F.lit(1).cast("bigint"), name)
 
-    Rows are numbered inside blocks of ``seq``; the block sizes are then summed
-    up in two more levels. No window holds more than one block, however many
-    rows share the keys. Blocks follow from the values alone, so a recomputed
-    task gives the same numbers. ``seq`` is a non-negative arrival number.
+
+def with_running_total(
+    df: DataFrame, keys: list[str], seq: str, tie: list[str], value: Column, name: str
+) -> DataFrame:
+    """Running sum of ``value`` per ``keys`` in the order of ``seq`` and ``tie``.
+
+    Rows are summed inside blocks of ``seq``; the block totals are then summed up
+    in two more levels. No window holds more than one block, however many rows
+    share the keys. Blocks follow from the values alone, so a recomputed task
+    gives the same sums. ``seq`` is a non-negative arrival number.
     """
-    blocked = df.withColumn("_leaf", F.shiftright(seq, _LEAF_BITS))
-    leaf = Window.partitionBy(*keys, "_leaf").orderBy(seq, *tie)
-    numbered = blocked.withColumn("_i", F.row_number().over(leaf))
+    blocked = df.withColumn("_v", value).withColumn("_leaf", F.shiftright(seq, _LEAF_BITS))
+    leaf = (
+        Window.partitionBy(*keys, "_leaf")
+        .orderBy(seq, *tie)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    inside = blocked.withColumn("_i", F.sum("_v").over(leaf)).drop("_v")
 
     sizes = (
         blocked.groupBy(*keys, "_leaf")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg(F.sum("_v").alias("_c"))
         .withColumn("_top", F.shiftright("_leaf", _FANOUT_BITS))
     )
     before_leaf = _sum_before([*keys, "_top"], "_leaf")
@@ -69,7 +80,7 @@ def with_ordinals(
         .select(*keys, "_leaf", (F.col("_a") + F.col("_b")).alias("_before"))
     )
     return (
-        numbered.join(offsets, [*keys, "_leaf"])
+        inside.join(offsets, [*keys, "_leaf"])
         .withColumn(name, F.col("_before") + F.col("_i"))
         .drop("_leaf", "_i", "_before")
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -341,7 +341,7 @@ def scan_report(
 
 def audit(
     texts: DataFrame, used: DataFrame, key: Sequence[str], user: str = "user_token",
-    text: str = "masked_text", at: Column | None = None,
+    text: str = "masked_text", at: Column | None = None, keep: Sequence[str] = (),
 ) -> DataFrame:
     """Audit events: who hid how many values, and how the text begins.
 
@@ -350,6 +350,7 @@ def audit(
     hidden = used.groupBy(*key).agg(F.count_distinct("original").alias("hidden_entities_count"))
     at = F.current_timestamp() if at is None else at
     return texts.join(hidden, list(key), "left").select(
+        *keep,
         F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
         T.shortened_token(F.col(user)).alias("token"),
         F.lit("ANONYMIZED_REQUEST").alias("action"),
@@ -368,6 +369,3 @@ def restore_files(spark: SparkSession, path: str, out: str, **options):
     from veilframe.plans.files import restore_files as run
 
     return run(spark, path, out, **options)
-
-
-Recogniser = Callable[[DataFrame], DataFrame]
