@@ -115,6 +115,8 @@ def both_passes(
     """Spans of both passes in the text's own offsets, tagged with their pass."""
     key = T.strip if case_sensitive else T.norm
 
+    spoken = {f"'{family}'": {family: p} for family, p in FIRST_PASS.items()}
+
     def label(spans: str, number: int) -> str:
         return (
             f"transform({spans}, s -> named_struct('st', s.st, 'ln', s.ln, 'pass', {number}, "
@@ -129,7 +131,7 @@ def both_passes(
         f"named_struct('t', {text}, 'lang', {lang}{more})",
         "a",
         let(
-            f"named_struct('t', a.t, 'first', {detect('a.t', 'a.lang')}{carried})",
+            f"named_struct('t', a.t, 'first', {detect('a.t', 'a.lang', spoken.get(lang))}{carried})",
             "b",
             f"array_sort(concat({label('b.first', 1)}, {label(second, 2)}))",
         ),

@@ -16,8 +16,8 @@ def with_quota(
     A user with very many rows is summed up block by block of time.
     """
     # About a millisecond; a block of the running total is then about a minute.
-    timed = usage.withColumn("period", F.date_format(at, "yyyy-MM")).withColumn(
-        "_tick", F.shiftright(F.unix_micros(at), 10)
+    timed = usage.withColumn("period", F.date_format(F.col(at).cast("timestamp"), "yyyy-MM")).withColumn(
+        "_tick", F.shiftright(F.unix_micros(F.col(at).cast("timestamp")), 10)
     )
     summed = with_running_total(timed, [user, "period"], "_tick", [at, tie], amount, "used")
     return summed.drop("_tick").withColumn("blocked", F.col("used") > limit)

@@ -343,7 +343,7 @@ def token_shortened(spark, sf):
 
 @query(
     "identifier_list",
-    "SELECT req, CAST(i - 1 AS INT) AS at, l[i] AS id FROM (SELECT req, l, unnest(range(1, len(l) + 1)) AS i FROM ("
+    "SELECT req, CAST(i - 1 AS INT) AS \"at\", l[i] AS id FROM (SELECT req, l, unnest(range(1, len(l) + 1)) AS i FROM ("
     "SELECT req, list_filter(list_transform(string_split(replace(ids, chr(10), ','), ','), "
     f"lambda x: trim(x)), lambda x: x <> '') AS l FROM ({C.REQUESTS})))",
 )
@@ -521,20 +521,19 @@ def numbering_continued(spark, sf):
 @query("fake_tokens")
 def fake_tokens(spark, sf):
     """Stand-ins for every type, one row per distinct value."""
-    parts = None
-    for i, ty in enumerate(C.TEMPLATES):
-        texts = C.corpus(spark, sf, C.typed_texts(ty))
-        part = texts.select(
-            F.concat(F.lit("g"), (F.col("k") % 7).cast("string")).alias("group_id"), "text",
-            (F.col("k") * 32 + i).alias("doc_seq"), F.lit(0).alias("unit_no"),
-            F.expr(detect.pattern_spans("text", P.BY_TYPE[ty])).alias("found"),
-        )
-        parts = part if parts is None else parts.unionByName(part)
-    labelled = F.expr(
-        "transform(found, s -> named_struct('st', s.st, 'ln', s.ln, 'pass', 1, 'ty', s.ty, "
-        f"'v', s.v, 'norm', {T.norm('s.v')}))"
+    found = [
+        f"named_struct('unit_no', {i}, 'spans', transform({T.let(C.filled('c_custkey', template), 'text', detect.pattern_spans('text', P.BY_TYPE[ty]))}, "
+        "s -> named_struct('st', s.st, 'ln', s.ln, 'pass', 1, 'ty', s.ty, "
+        f"'v', s.v, 'norm', {T.norm('s.v')})))"
+        for i, (ty, template) in enumerate(C.TEMPLATES.items())
+    ]
+    texts = C.table(spark, sf, "customer").select(
+        F.expr("concat('g', cast(c_custkey % 7 as string))").alias("group_id"),
+        F.col("c_custkey").alias("doc_seq"),
+        F.explode(F.expr(f"array({', '.join(found)})")).alias("u"),
     )
-    first = entities.first_mentions(entities.mentions(parts.withColumn("spans", labelled)))
+    spans = texts.select("group_id", "doc_seq", "u.unit_no", "u.spans")
+    first = entities.first_mentions(entities.mentions(spans))
     numbered = staged(entities.number_entities(first), "numbered")
     return faked(numbered, SECRET).select("group_id", "norm", "ty", "original", "token")
 
@@ -560,14 +559,14 @@ ORACLE["fake_collisions"] = (
 # A surname per customer with its six cases; every third one has no case table.
 _ENDINGS = dict(zip(names.CASES, names.SURNAME_ENDINGS))
 _FORMS = " UNION ALL ".join(
-    f"SELECT concat('клиентов', chr(1072 + cast(c_custkey % 30 as int)), cast(c_custkey as string), 'ин') AS lemma, "
-    f"'{case}' AS case, concat('клиентов', chr(1072 + cast(c_custkey % 30 as int)), "
+    f"SELECT concat('клиентов', substr('абвгдежзиклмнопрстуфхцчшщэюя', cast(c_custkey % 28 as int) + 1, 1), cast(c_custkey as string), 'ин') AS lemma, "
+    f"'{case}' AS case, concat('клиентов', substr('абвгдежзиклмнопрстуфхцчшщэюя', cast(c_custkey % 28 as int) + 1, 1), "
     f"cast(c_custkey as string), 'ин{ending}') AS form FROM customer WHERE c_custkey % 3 <> 0"
     for case, ending in _ENDINGS.items()
 )
 _PEOPLE = (
-    "SELECT cast(c_nationkey as string) AS group_id, concat('клиентов', chr(1072 + cast(c_custkey % 30 as int)), "
-    "cast(c_custkey as string), 'ину') AS norm, concat('Клиентов', chr(1072 + cast(c_custkey % 30 as int)), "
+    "SELECT cast(c_nationkey as string) AS group_id, concat('клиентов', substr('абвгдежзиклмнопрстуфхцчшщэюя', cast(c_custkey % 28 as int) + 1, 1), "
+    "cast(c_custkey as string), 'ину') AS norm, concat('Клиентов', substr('абвгдежзиклмнопрстуфхцчшщэюя', cast(c_custkey % 28 as int) + 1, 1), "
     "cast(c_custkey as string), 'ину') AS original, concat('Подменов', cast(c_custkey as string), 'ев') AS token "
     "FROM customer"
 )
@@ -768,7 +767,7 @@ def span_with_entity(spark, sf):
 
 
 _RESOLVE = (
-    f"WITH s AS ({C.SESSIONS}), r AS (SELECT ids, CAST(i - 1 AS INT) AS at, l[i] AS id FROM (SELECT ids, l, "
+    f"WITH s AS ({C.SESSIONS}), r AS (SELECT ids, CAST(i - 1 AS INT) AS \"at\", l[i] AS id FROM (SELECT ids, l, "
     "unnest(range(1, len(l) + 1)) AS i FROM (SELECT DISTINCT ids, list_filter(list_transform(string_split("
     f"replace(ids, chr(10), ','), ','), lambda x: trim(x)), lambda x: x <> '') AS l FROM ({C.REQUESTS})))), "
     "a AS (SELECT r.*, s.session_id FROM r JOIN s ON r.id = s.session_id), "
@@ -778,7 +777,7 @@ _RESOLVE = (
 )
 
 
-@query("resolve_identifiers", _RESOLVE + "SELECT ids, at, id, session_id FROM x")
+@query("resolve_identifiers", _RESOLVE + 'SELECT ids, "at", id, session_id FROM x')
 def resolve_identifiers(spark, sf):
     """Each identifier as a session first, else as a group."""
     return sessions.resolve(
@@ -813,7 +812,7 @@ def _session_table(spark, sf) -> DataFrame:
 
 
 _MERGED = _RESOLVE + (
-    f", t AS ({C.SESSION_TOKENS}) SELECT ids, t.token, arg_max(t.original, {{'a': at, 'c': s.created_at, "
+    f", t AS ({C.SESSION_TOKENS}) SELECT ids, t.token, arg_max(t.original, {{'a': \"at\", 'c': s.created_at, "
     "'s': s.session_id}) AS original FROM x JOIN s ON s.session_id = x.session_id "
     "JOIN t ON t.session_id = s.session_id GROUP BY ids, t.token"
 )
@@ -1497,15 +1496,23 @@ def stream_detection(spark, sf):
 _STREAM_BATCHES = 3
 
 
+def _stream_in_order(spark, rows: DataFrame, by: str) -> DataFrame:
+    """A stream whose files follow ``by``: files are taken in the order they are written."""
+    path = fresh_path(spark, "stream")
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    step = (high - low) / _STREAM_BATCHES
+    for i in range(_STREAM_BATCHES):
+        upper = F.col(by) < F.lit(low + step * (i + 1)) if i < _STREAM_BATCHES - 1 else F.lit(True)
+        part = rows.where((F.col(by) >= F.lit(low + step * i)) & upper)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query("stream_masking", f"SELECT doc_seq, masked_text FROM ({oracle.masked(C.RU_CLIENTS, oracle.RU_TYPES)})")
 def stream_masking(spark, sf):
     """Tokens kept over micro-batches, and sessions and audit lines written."""
     rows = C.corpus(spark, sf, C.RU_CLIENTS)
-    # Files are taken in the order they are written; each holds a range of texts.
-    path = fresh_path(spark, "stream")
-    ranged = rows.repartitionByRange(_STREAM_BATCHES, "doc_seq")
-    ranged.sortWithinPartitions("doc_seq").write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = _stream_in_order(spark, rows, "doc_seq")
     out = fresh_path(spark, "stream-out")
     running = streaming.masked_stream(
         stream, out, fresh_path(spark, "stream-state"), lang="ru", secret=SECRET,
@@ -1538,11 +1545,12 @@ def stream_sessions_and_audit(spark, sf):
 def stream_group_expiry(spark, sf):
     """Values of a group are forgotten when they are older than the time to live."""
     orders = C.corpus(spark, sf, C.RU_ORDERS).join(
-        C.table(spark, sf, "orders").selectExpr("o_orderkey as doc_seq", "o_orderdate as at"), "doc_seq"
+        C.table(spark, sf, "orders").selectExpr(
+            "o_orderkey as doc_seq", "cast(o_orderdate as timestamp) as at"
+        ),
+        "doc_seq",
     )
-    path = fresh_path(spark, "stream")
-    orders.repartitionByRange(2, "at").write.parquet(path)
-    stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = _stream_in_order(spark, orders, "at")
     out = fresh_path(spark, "stream-out")
     _finish(
         streaming.masked_stream(
@@ -1555,10 +1563,12 @@ def stream_group_expiry(spark, sf):
 @query("stream_late_messages", "SELECT CAST(count(*) AS BIGINT) AS messages FROM events")
 def stream_late_messages(spark, sf):
     """Late messages go to a table of their own; none is lost."""
-    events = C.table(spark, sf, "events").withColumn("late", F.col("event_id") % 50 == 0)
-    path = fresh_path(spark, "stream")
-    events.repartitionByRange(3, F.col("ts") + F.when(F.col("late"), F.expr("interval 30 days")).otherwise(F.expr("interval 0 days"))).write.parquet(path)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    # Every fiftieth event comes a month after its time.
+    events = C.table(spark, sf, "events").selectExpr(
+        "event_id", "cast(ts as timestamp) as ts",
+        "cast(ts as timestamp) + if(event_id % 50 = 0, interval '30' day, interval '0' day) as arrived",
+    )
+    stream = _stream_in_order(spark, events, "arrived")
     out = fresh_path(spark, "stream-out")
     _finish(
         streaming.late_to_quarantine(stream, "ts", "1 hour", out, fresh_path(spark, "stream-state"))
@@ -1586,7 +1596,7 @@ def stream_restoring(spark, sf):
 def stream_hits_per_hour(spark, sf):
     """Hits per hour and type; the last open windows stay in the state."""
     events = C.table(spark, sf, "events").selectExpr(
-        "ts", "concat('user', user_id, '@host.example did ', event_type) as text"
+        "cast(ts as timestamp) as ts", "concat('user', user_id, '@host.example did ', event_type) as text"
     )
     spans = streaming.with_spans(_stream(spark, events, 4), lang="en")
     hourly = streaming.hits_per_window(spans, "ts")

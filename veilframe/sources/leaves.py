@@ -89,9 +89,17 @@ def _json_changed(value, changes: dict[str, str]):
     return value
 
 
+def _read(parse, text, strings):
+    """The strings of one text; null where it cannot be parsed."""
+    try:
+        return strings(parse(text)) if text else []
+    except (ValueError, ElementTree.ParseError):
+        return None
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def json_strings(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: _json_strings(json.loads(t)) if t else [])
+    return text.map(lambda t: _read(json.loads, t, _json_strings))
 
 
 @F.pandas_udf(T.StringType())
@@ -115,11 +123,10 @@ def _xml_places(root):
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def xml_strings(text: pd.Series) -> pd.Series:
-    return text.map(
-        lambda t: [s for s, _ in _xml_places(ElementTree.fromstring(t)) if s and s.strip()]
-        if t
-        else []
-    )
+    def strings(root):
+        return [s for s, _ in _xml_places(root) if s and s.strip()]
+
+    return text.map(lambda t: _read(ElementTree.fromstring, t, strings))
 
 
 @F.pandas_udf(T.StringType())

@@ -42,8 +42,12 @@ def base_name(path: Column) -> Column:
 
 def read_whole(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Whole files of one kind: path, content."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true")
-    files = reader.option("pathGlobFilter", "*.{" + ",".join(KINDS[kind]) + ",x}").text(path)
+    files = spark.read.text(
+        path,
+        wholetext=True,
+        recursiveFileLookup=True,
+        pathGlobFilter="*.{" + ",".join(KINDS[kind]) + "}",
+    )
     return files.select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")
     )
@@ -125,6 +129,10 @@ def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
         .select("path", "member", "kind", none.alias("content"), "leaves"),
     ):
         rows = rows.unionByName(more)
+    broken = rows.where(F.col("leaves").isNull()).select(
+        "path", "member", F.concat(F.lit("malformed "), "kind").alias("reason")
+    )
+    rows = rows.where(F.col("leaves").isNotNull())
     unread = (
         listing.select("path", kind_of(F.col("path")).alias("kind"))
         .where(F.col("kind").isin("unknown", "not_built"))
@@ -134,6 +142,7 @@ def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
                 "path", "member", F.col("text").alias("reason")
             )
         )
+        .unionByName(broken)
     )
     return rows, unread
 
@@ -143,6 +152,6 @@ def rewritten(kind: Column, content: Column, changes: Column) -> Column:
     return (
         F.when(kind == "text", F.coalesce(F.element_at(changes, content), content))
         .when(kind == "html", html.html_changed(content, changes))
-        .when(kind == "json", leaves.json_changed(content, changes))
-        .when(kind == "xml", leaves.xml_changed(content, changes))
+        .when(kind == "json", leaves.json_changed(F.when(kind == "json", content), changes))
+        .when(kind == "xml", leaves.xml_changed(F.when(kind == "xml", content), changes))
     )
