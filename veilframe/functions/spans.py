@@ -16,31 +16,81 @@ NO_SPANS = f"cast(array() as {SPANS})"
 NO_MATCHES = f"cast(array() as {MATCHES})"
 # Stands in for text that a first pass has taken: no letter, digit or space.
 BLANK = "￼"
+# Two code points that are no characters.
+MARK, STRAY = "\uffff", "\ufffe"
+# Matches whose offsets are summed up together; pieces that are joined together.
+BLOCK, PIECES = 256, 64
+# Longer texts are searched part by part, cut before one of these characters.
+PART = 8192
+HARD_STOP = r"[!?;{}|=<>\[\]*&]"
 
 
 def located(found: str, gaps: str) -> str:
     """Matches with offsets, from the matches and the gaps between them.
 
-    A match starts where the gaps and matches before it end.
+    A match starts where the gaps and matches before it end. Lengths are summed
+    up block by block, so that very many matches stay affordable.
     """
-    pairs = f"zip_with({found}, {gaps}, (v, gap) -> named_struct('v', v, 'gap', gap))"
     # There is one gap more than matches; it pairs with no value.
-    return (
-        f"aggregate(filter({pairs}, p -> p.v is not null), "
+    pairs = (
+        f"filter(zip_with({found}, {gaps}, (v, gap) -> named_struct('v', v, 'gap', gap)), "
+        "p -> p.v is not null)"
+    )
+    block = (
+        f"aggregate(slice(ps, i * {BLOCK} + 1, {BLOCK}), "
         f"named_struct('pos', 0, 'out', {NO_MATCHES}), (acc, p) -> named_struct("
         "'pos', acc.pos + length(p.gap) + length(p.v), 'out', concat(acc.out, array("
-        "named_struct('st', acc.pos + length(p.gap), 'ln', length(p.v), 'v', p.v)))), "
-        "acc -> acc.out)"
+        "named_struct('st', acc.pos + length(p.gap), 'ln', length(p.v), 'v', p.v)))))"
+    )
+    blocks = f"transform(sequence(0, cast((size(ps) - 1) div {BLOCK} as int)), i -> {block})"
+    starts = running("bs", "pos", "x.pos")
+    shifted = (
+        f"flatten(zip_with(bs, {starts}, (x, o) -> transform(x.out, m -> "
+        "named_struct('st', m.st + o, 'ln', m.ln, 'v', m.v))))"
+    )
+    return let(pairs, "ps", let(blocks, "bs", shifted))
+
+
+def running(items: str, name: str, amount: str) -> str:
+    """For each of a few items the sum of ``amount`` over the items before it."""
+    return (
+        f"aggregate({items}, named_struct('{name}', 0, 'out', cast(array() as array<int>)), "
+        f"(acc, x) -> named_struct('{name}', acc.{name} + {amount}, "
+        f"'out', concat(acc.out, array(acc.{name}))), acc -> acc.out)"
     )
 
 
+def gaps_between(text: str, pattern: str) -> str:
+    """The text between matches, cut at a mark that stands for each match.
+
+    The mark is no character of any text; a stray one is renamed beforehand.
+    """
+    plain = f"translate({text}, '{MARK}', '{STRAY}')"
+    return f"split(regexp_replace({plain}, {raw(pattern)}, '{MARK}'), '{MARK}', -1)"
+
+
 def find_all(text: str, pattern: str) -> str:
     """All matches of ``pattern``, which must not match the empty string."""
     p = raw(pattern)
-    cut = located(f"regexp_extract_all(t, {p}, 0)", f"split(t, {p}, -1)")
+    cut = located(f"regexp_extract_all(t, {p}, 0)", gaps_between("t", pattern))
     return let(text, "t", f"if(t rlike {p}, {cut}, {NO_MATCHES})")
 
 
+def parts(text: str) -> str:
+    """A long text in parts of some thousand characters: base, len, t.
+
+    Cuts are made only before characters that occur in no identifier, so that no
+    match is cut and none begins at a cut by mistake.
+    """
+    pattern = raw(rf"(?s).{{{PART},}}?(?={HARD_STOP})|.+")
+    texts = f"if(length(t) <= {2 * PART}, array(t), regexp_extract_all(t, {pattern}, 0))"
+    with_base = (
+        f"zip_with(ts, {running('ts', 'pos', 'length(x)')}, "
+        "(x, o) -> named_struct('base', o, 'len', length(x), 't', x))"
+    )
+    return let(text, "t", let(texts, "ts", with_base))
+
+
 def overlap(a: str, b: str) -> str:
     return f"greatest({a}.st, {b}.st) < least({a}.st + {a}.ln, {b}.st + {b}.ln)"
 
@@ -58,21 +108,39 @@ def resolve_overlaps(spans: str) -> str:
         f"aggregate({longest_first}, {NO_SPANS}, (acc, x) -> "
         f"if(exists(acc, k -> {overlap('k', 'x.s')}), acc, concat(acc, array(x.s))))"
     )
-    return let(spans, "items", f"if(size(items) < 2, items, array_sort({kept}))")
+    apart = (
+        "not exists(zip_with(slice(o, 1, size(o) - 1), slice(o, 2, size(o)), "
+        "(x, y) -> x.st + x.ln > y.st), z -> z)"
+    )
+    by_start = let("array_sort(items)", "o", f"if(size(o) < 2 or {apart}, o, array_sort({kept}))")
+    return let(spans, "items", f"if(size(items) < 1, items, {by_start})")
 
 
 def splice(text: str, pieces: str) -> str:
-    """Replace spans of ``text``; ``pieces`` has st, ln, rep and is sorted by st."""
-    before = "if(i = 0, 0, get(b.p, i - 1).st + get(b.p, i - 1).ln)"
-    body = (
-        "array_join(transform(b.p, (x, i) -> concat("
-        f"substring(b.t, {before} + 1, x.st - {before}), x.rep)), '')"
+    """Replace spans of ``text``; ``pieces`` has st, ln, rep and is sorted by st.
+
+    Pieces are taken some at a time, so that a long text is not walked through
+    from its beginning for each of them.
+    """
+    # The stretch of text that ends with the last piece of the block.
+    begin = "if(i = 0, 0, s.p[i - 1].st + s.p[i - 1].ln)"
+    last = f"s.p[least(i + {PIECES}, size(s.p)) - 1]"
+    stretch = (
+        f"named_struct('base', {begin}, 'p', slice(s.p, i + 1, {PIECES}), 't', "
+        f"substring(s.t, {begin} + 1, {last}.st + {last}.ln - {begin}))"
+    )
+    before = "if(j = 0, 0, b.p[j - 1].st + b.p[j - 1].ln - b.base)"
+    filled = (
+        "array_join(transform(b.p, (x, j) -> concat("
+        f"substring(b.t, {before} + 1, x.st - b.base - {before}), x.rep)), '')"
     )
-    tail = "substring(b.t, b.p[size(b.p) - 1].st + b.p[size(b.p) - 1].ln + 1)"
+    blocks = f"transform(sequence(0, size(s.p) - 1, {PIECES}), i -> {let(stretch, 'b', filled)})"
+    end = "s.p[size(s.p) - 1].st + s.p[size(s.p) - 1].ln"
     return let(
         f"named_struct('t', {text}, 'p', {pieces})",
-        "b",
-        f"if(coalesce(size(b.p), 0) < 1, b.t, concat({body}, {tail}))",
+        "s",
+        "if(coalesce(size(s.p), 0) < 1, s.t, "
+        f"concat(array_join({blocks}, ''), substring(s.t, {end} + 1)))",
     )
 
 

@@ -25,7 +25,11 @@ _OTHER_DIGITS = "".join(chr(base + i) for base in _DIGIT_BLOCKS for i in range(1
 
 
 def let(value: str, name: str, body: str) -> str:
-    """``body`` with ``value`` bound to ``name``, evaluated once."""
+    """``body`` with ``value`` bound to ``name``, evaluated once.
+
+    Each binding is one more level for the analyser to resolve, so long chains
+    are better laid out as columns.
+    """
     return f"transform(array({value}), {name} -> {body})[0]"
 
 

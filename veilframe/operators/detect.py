@@ -1,12 +1,15 @@
-"""Detection as one expression: text in, spans out, no shuffle.
+"""Detection: text in, spans out, all inside the row and without a shuffle.
 
-All functions take and give SQL text, to be used with ``expr``.
+Functions of patterns take and give SQL text, to be used with ``expr``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from veilframe.functions import spans as S
 from veilframe.functions import text as T
 from veilframe.functions.text import let, raw
@@ -18,8 +21,6 @@ from veilframe.operators.patterns import (
     Pattern,
 )
 
-FOUND = "array<struct<st:int,ln:int,pass:int,ty:string,v:string,norm:string>>"
-NOTHING = f"cast(array() as {FOUND})"
 
 # The cheap tests a pattern may name in ``needs``; each runs once per text.
 _GATES = {
@@ -35,7 +36,7 @@ def _matches(text: str, p: Pattern) -> str:
     return (
         f"if({text} rlike {regex}, named_struct('ty', '{p.ty}', 'pr', {p.rank}, "
         f"'score', double('{p.score}'), 'luhn', {str(p.luhn).lower()}, "
-        f"'found', regexp_extract_all({text}, {regex}, 0), 'gaps', split({text}, {regex}, -1)), null)"
+        f"'found', regexp_extract_all({text}, {regex}, 0), 'gaps', {S.gaps_between(text, p.compiled)}), null)"
     )
 
 
@@ -68,17 +69,16 @@ def above(spans: str, threshold: float) -> str:
     return f"filter({spans}, s -> s.score >= {threshold})"
 
 
-def detect(
-    text: str,
-    lang: str,
-    families: dict[str, Sequence[Pattern]] | None = None,
-    threshold: float = FIRST_THRESHOLD,
-) -> str:
-    """First pass: the patterns of the text's language, without overlaps."""
+def _first_pass(text: str, lang: str, families: dict[str, Sequence[Pattern]]) -> str:
     spans = S.NO_SPANS
-    for family, patterns in (families or FIRST_PASS).items():
+    for family, patterns in families.items():
         spans = f"if({lang} = '{family}', {raw_spans(text, patterns)}, {spans})"
-    return S.resolve_overlaps(above(spans, threshold))
+    return above(spans, FIRST_THRESHOLD)
+
+
+def detect(text: str, lang: str) -> str:
+    """First pass: the patterns of the text's language, without overlaps."""
+    return S.resolve_overlaps(_first_pass(text, lang, FIRST_PASS))
 
 
 def detect_second(
@@ -90,53 +90,93 @@ def detect_second(
 ) -> str:
     """Second pass, on the text with the first pass's spans blanked out.
 
-    ``extra`` adds spans found elsewhere, such as names from a gazetteer. It
-    runs only where letters remain or the first pass has put a token.
+    ``extra`` adds spans found elsewhere, such as names from a gazetteer.
     """
-    found = raw_spans("r.t", patterns)
+    found = raw_spans("r", patterns)
     if extra is not None:
-        free = f"filter(r.extra, x -> not exists(r.taken, k -> {S.overlap('k', 'x')}))"
+        free = f"filter({extra}, x -> not exists({taken}, k -> {S.overlap('k', 'x')}))"
         found = (
             f"concat({found}, transform({free}, x -> named_struct('st', x.st, 'ln', x.ln, "
-            "'pr', x.pr, 'ty', x.ty, 'score', x.score, 'v', substring(r.t, x.st + 1, x.ln))))"
+            "'pr', x.pr, 'ty', x.ty, 'score', x.score, 'v', substring(r, x.st + 1, x.ln))))"
         )
-    more = f", 'extra', coalesce({extra}, {S.NO_SPANS})" if extra is not None else ""
-    return let(
-        f"named_struct('t', {S.blank_out(text, taken)}, 'taken', {taken}{more})",
-        "r",
-        f"if({T.has_letters('r.t')} or size(r.taken) > 0, "
-        f"{S.resolve_overlaps(above(found, threshold))}, {S.NO_SPANS})",
-    )
+    return let(S.blank_out(text, taken), "r", above(found, threshold))
 
 
-def both_passes(
-    text: str, lang: str, extra: str | None = None, case_sensitive: bool = False
-) -> str:
-    """Spans of both passes in the text's own offsets, tagged with their pass."""
+def with_parts(
+    df: DataFrame,
+    text: str = "text",
+    lang: str = "auto",
+    extra: str | None = None,
+    case_sensitive: bool = False,
+) -> DataFrame:
+    """Add ``parts``: the spans of both passes, an array of base, len, spans.
+
+    Spans have st, ln, pass, ty, v, norm; their offsets count from the part's
+    base. ``extra`` names a column of spans for the second pass. The second pass
+    runs where the text has letters or the first one has put a token. Each step
+    is a column of its own, and none leaves the row.
+    """
     key = T.strip if case_sensitive else T.norm
+    # A language known beforehand leaves out the patterns of all others.
+    families = {lang: FIRST_PASS[lang]} if lang in FIRST_PASS else FIRST_PASS
 
-    spoken = {f"'{family}'": {family: p} for family, p in FIRST_PASS.items()}
-
-    def label(spans: str, number: int) -> str:
+    def label(number: int) -> str:
         return (
-            f"transform({spans}, s -> named_struct('st', s.st, 'ln', s.ln, 'pass', {number}, "
-            f"'ty', s.ty, 'v', s.v, 'norm', {key('s.v')}))"
+            f"s -> named_struct('st', s.st, 'ln', s.ln, 'pass', {number}, "
+            f"'ty', s.ty, 'v', s.v, 'norm', {key('s.v')})"
         )
 
-    names = "b.extra" if extra is not None else None
-    more = f", 'extra', {extra}" if extra is not None else ""
-    carried = ", 'extra', a.extra" if extra is not None else ""
-    second = detect_second("b.t", "b.first", names)
-    found = let(
-        f"named_struct('t', {text}, 'lang', {lang}{more})",
-        "a",
-        let(
-            f"named_struct('t', a.t, 'first', {detect('a.t', 'a.lang', spoken.get(lang))}{carried})",
-            "b",
-            f"array_sort(concat({label('b.first', 1)}, {label(second, 2)}))",
-        ),
+    names = None
+    if extra is not None:
+        inside = "x.st >= c.base and x.st + x.ln <= c.base + c.len"
+        names = (
+            f"transform(filter(coalesce({extra}, {S.NO_SPANS}), x -> {inside}), "
+            "x -> named_struct('st', x.st - c.base, 'ln', x.ln, 'pr', x.pr, 'ty', x.ty, "
+            "'score', x.score, 'v', x.v))"
+        )
+    column = f"`{text}`"
+    cut = f"if({column} is null or {T.is_blank(column)}, array(), {S.parts(column)})"
+    none = f"array_repeat({S.NO_SPANS}, size(_cut))"
+    first = f"transform(_cut, c -> {_first_pass('c.t', '_lang', families)})"
+    second = f"zip_with(_cut, _first, (c, f) -> {detect_second('c.t', 'f', names)})"
+    joined = (
+        "zip_with(_cut, zip_with(_first, _second, (f, g) -> array_sort(concat("
+        f"transform(f, {label(1)}), transform(g, {label(2)})))), "
+        "(c, x) -> named_struct('base', c.base, 'len', c.len, 'spans', x))"
+    )
+    steps = [
+        ("_lang", effective_lang(column, lang)),
+        ("_cut", cut),
+        ("_first", first),
+        ("_first", f"transform(_first, f -> {S.resolve_overlaps('f')})"),
+        ("_open", f"{T.has_letters(column)} or exists(_first, f -> size(f) > 0)"),
+        ("_second", f"if(_open, {second}, {none})"),
+        ("_second", f"transform(_second, f -> {S.resolve_overlaps('f')})"),
+        ("parts", joined),
+    ]
+    for name, sql in steps:
+        df = df.withColumn(name, F.expr(sql))
+    return df.drop("_lang", "_cut", "_first", "_open", "_second")
+
+
+def spans_of(parts: str) -> str:
+    """All spans of a text that was searched part by part, in the text's offsets."""
+    return (
+        f"flatten(transform({parts}, c -> transform(c.spans, s -> named_struct("
+        "'st', s.st + c.base, 'ln', s.ln, 'pass', s.pass, 'ty', s.ty, 'v', s.v, 'norm', s.norm))))"
     )
-    return f"if({text} is null or {T.is_blank(text)}, {NOTHING}, {found})"
+
+
+def found_in(
+    df: DataFrame, keep: Sequence[str], text: str = "text", lang: str = "auto"
+) -> DataFrame:
+    """One row per span of both passes: the columns to keep, and the span's.
+
+    The spans are exploded as an expression: over a column, a filter on its size
+    would be put below, and the texts would be searched once more.
+    """
+    rows = with_parts(df, text, lang)
+    return rows.select(*keep, F.explode(F.expr(spans_of("parts"))).alias("s")).select(*keep, "s.*")
 
 
 def effective_lang(text: str, lang: str = "auto") -> str:

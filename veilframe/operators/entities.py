@@ -13,10 +13,12 @@ _LEAF_BITS = 16
 _FANOUT_BITS = 16
 
 
-def mentions(units: DataFrame, spans: str = "spans") -> DataFrame:
-    """One row per span of ``units`` (group_id, doc_seq, unit_no, spans)."""
+def mentions(units: DataFrame, spans: str) -> DataFrame:
+    """One row per span; ``spans`` is the expression that gives a unit's spans.
+
+    """
     return units.select(
-        "group_id", "doc_seq", "unit_no", F.explode(spans).alias("s")
+        "group_id", "doc_seq", "unit_no", F.explode(F.expr(spans)).alias("s")
     ).select("group_id", "doc_seq", "unit_no", "s.*")
 
 

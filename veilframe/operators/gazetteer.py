@@ -11,7 +11,8 @@ from veilframe.functions import spans as S
 from veilframe.functions.text import let
 from veilframe.operators.patterns import SECOND_THRESHOLD
 
-WORD = r"[\p{L}\p{N}][\p{L}\p{N}_#'’-]*"
+# A mark that ends a phrase counts as a word of its own, so no name reaches over it.
+WORD = S.HARD_STOP + r"|[\p{L}\p{N}][\p{L}\p{N}_#'’-]*"
 # A list of at most this many forms is sent to every executor.
 BROADCAST_ROWS = 1_000_000
 # Confidence of the three kinds of names; fixed values.
@@ -84,7 +85,8 @@ def model_spans(
     """Spans from a recogniser of the user's own.
 
     ``find`` maps an iterator of pandas batches (key columns, text) to batches of
-    (key columns, st, ln, ty, score); it can load its model once per task.
+    (key columns, st, ln, ty, score); it can load its model once per task. A span
+    should not reach over one of the characters at which long texts are cut.
     """
     rows = units.select(*key, "text").mapInPandas(
         find, f"{key_schema}, st int, ln int, ty string, score double"

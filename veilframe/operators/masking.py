@@ -6,36 +6,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.spans import splice
+from veilframe.functions.text import let
 
 KEY = ["group_id", "doc_seq", "unit_no"]
 
 
 def used_tokens(hits: DataFrame, entities: DataFrame) -> DataFrame:
-    """Which text uses which token: KEY, norm, token, original.
+    """Which part of which text uses which token: KEY, part, norm, token, original.
 
-    Each text names a value once, however often it repeats it. Frequent values
+    A part names a value once, however often it repeats it. Frequent values
     make large join partitions, which adaptive execution splits.
     """
-    values = hits.select(
-        *KEY, F.explode(F.array_distinct(F.transform("spans", lambda s: s.norm))).alias("norm")
+    named = F.expr(
+        "flatten(transform(parts, (c, i) -> transform(array_distinct(transform(c.spans, "
+        "s -> s.norm)), n -> named_struct('part', i, 'norm', n))))"
     )
+    values = hits.select(*KEY, F.explode(named).alias("u")).select(*KEY, "u.part", "u.norm")
     return values.join(
         entities.select("group_id", "norm", "token", "original"), ["group_id", "norm"]
-    ).select(*KEY, "norm", "token", "original")
+    ).select(*KEY, "part", "norm", "token", "original")
 
 
 def apply_tokens(hits: DataFrame, used: DataFrame, text: str, out: str) -> DataFrame:
     """Texts with spans, each span replaced by the token of its value."""
-    per_text = used.groupBy(*KEY).agg(
-        F.map_from_entries(F.collect_list(F.struct("norm", "token"))).alias("_tokens")
+    # One shuffle by text serves both groupings and the join with the texts.
+    per_part = (
+        used.repartition(*KEY)
+        .groupBy(*KEY, "part")
+        .agg(F.map_from_entries(F.collect_list(F.struct("norm", "token"))).alias("tokens"))
+    )
+    per_text = per_part.groupBy(*KEY).agg(
+        F.map_from_entries(F.collect_list(F.struct("part", "tokens"))).alias("_tokens")
     )
     pieces = (
-        "transform(spans, s -> named_struct("
-        "'st', s.st, 'ln', s.ln, 'rep', element_at(_tokens, s.norm)))"
+        "transform(c.spans, s -> named_struct("
+        "'st', s.st, 'ln', s.ln, 'rep', element_at(known, s.norm)))"
     )
+    filled = let("element_at(_tokens, i)", "known", splice(f"substring(`{text}`, c.base + 1, c.len)", pieces))
+    whole = f"array_join(transform(parts, (c, i) -> {filled}), '')"
+    distinct = "size(array_distinct(flatten(transform(map_values(_tokens), m -> map_values(m)))))"
     return (
         hits.join(per_text, KEY)
-        .withColumn(out, F.expr(splice(f"`{text}`", pieces)))
-        .withColumn("map_size", F.size("_tokens"))
+        .withColumn(out, F.expr(whole))
+        .withColumn("map_size", F.expr(distinct))
         .drop("_tokens")
     )

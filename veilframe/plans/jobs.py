@@ -116,14 +116,11 @@ def mask(
     if names is not None:
         units = units.join(names.withColumnRenamed("spans", "_names"), KEY, "left")
         extra = "_names"
-    column = f"`{text}`"
-    spans = D.both_passes(column, D.effective_lang(column, lang), extra, case_sensitive)
-    searched = units.withColumn("spans", F.expr(spans)).drop("_names")
-    searched = staged(
-        searched.withColumn("hit", F.size("spans") > 0), "searched", partition_by=("hit",)
-    )
+    searched = D.with_parts(units, text, lang, extra, case_sensitive).drop("_names")
+    searched = searched.withColumn("hit", F.expr("exists(parts, c -> size(c.spans) > 0)"))
+    searched = staged(searched, "searched", partition_by=("hit",))
     hits = searched.where("hit")
-    found = E.mentions(hits)
+    found = E.mentions(hits, D.spans_of("parts"))
     first = E.first_mentions(found, left_to_right)
     numbered = E.number_entities(first, existing)
     if mode == "tags":
@@ -145,8 +142,9 @@ def mask(
     clean = searched.where("not hit").withColumns(
         {"masked_text": F.col(text), "map_size": F.lit(0)}
     )
-    masked = done.unionByName(clean).withColumn("spans_found", F.size("spans"))
-    return MaskResult(masked.drop("spans", "hit"), entities, used, forms)
+    count = F.expr("aggregate(parts, 0, (n, c) -> n + size(c.spans))")
+    masked = done.unionByName(clean).withColumn("spans_found", count)
+    return MaskResult(masked.drop("parts", "hit"), entities, used, forms)
 
 
 def _mask_once(units: DataFrame, text: str, **options) -> MaskResult:
@@ -331,10 +329,9 @@ def scan_report(
 ) -> DataFrame:
     """Hits per type and language, without masking anything."""
     spoken = D.effective_lang(f"`{text}`", lang)
-    found = df.select(*by, F.expr(spoken).alias("text_lang"), F.col(text).alias("text")).select(
-        *by, "text_lang", F.explode(F.expr(D.both_passes("text", "text_lang"))).alias("s")
-    )
-    return found.groupBy(*by, "text_lang", F.col("s.ty").alias("ty")).agg(
+    texts = df.select(*by, F.expr(spoken).alias("text_lang"), F.col(text).alias("text"))
+    found = D.found_in(texts, [*by, "text_lang"], "text", "text_lang")
+    return found.groupBy(*by, "text_lang", "ty").agg(
         F.count(F.lit(1)).alias("hits")
     )
 

@@ -110,7 +110,8 @@ def names_by_gazetteer(spark, sf):
     listed = C.corpus(spark, sf, C.GAZETTEER)
     spans = gazetteer.gazetteer_spans(texts, listed, ["k"])
     joined = texts.join(spans, "k")
-    kept = F.expr(detect.detect_second("text", S.NO_SPANS, "spans", patterns=[P.SECOND_PASS[0]]))
+    second = detect.detect_second("text", S.NO_SPANS, "spans", patterns=[P.SECOND_PASS[0]])
+    kept = F.expr(S.resolve_overlaps(second))
     return joined.select("k", F.explode(kept).alias("s")).select("k", "s.st", "s.ty", "s.v")
 
 
@@ -425,11 +426,9 @@ def spans_spliced(spark, sf):
     f"SELECT doc_seq, pass, st, ty, v FROM ({oracle.found(C.RU_ORDERS, oracle.RU_TYPES)})",
 )
 def two_passes(spark, sf):
-    found = F.expr(detect.both_passes("text", "'ru'"))
     texts = C.corpus(spark, sf, C.RU_ORDERS)
-    return texts.select("doc_seq", F.explode(found).alias("s")).select(
-        "doc_seq", "s.pass", "s.st", "s.ty", "s.v"
-    )
+    found = detect.found_in(texts, ["doc_seq"], lang="ru")
+    return found.select("doc_seq", "pass", "st", "ty", "v")
 
 
 @query(
@@ -468,8 +467,8 @@ _ENTITIES = oracle.entities(C.RU_ORDERS, oracle.RU_TYPES)
 def canonical_entities(spark, sf):
     """One entry per value of a group, as first met."""
     texts = C.corpus(spark, sf, C.RU_ORDERS)
-    spans = texts.select(*KEY, F.expr(detect.both_passes("text", "'ru'")).alias("spans"))
-    first = entities.first_mentions(entities.mentions(spans))
+    found = detect.found_in(texts, KEY, lang="ru")
+    first = entities.first_mentions(found)
     return first.select("group_id", "norm", "ty", "original")
 
 
@@ -533,7 +532,7 @@ def fake_tokens(spark, sf):
         F.explode(F.expr(f"array({', '.join(found)})")).alias("u"),
     )
     spans = texts.select("group_id", "doc_seq", "u.unit_no", "u.spans")
-    first = entities.first_mentions(entities.mentions(spans))
+    first = entities.first_mentions(entities.mentions(spans, "spans"))
     numbered = staged(entities.number_entities(first), "numbered")
     return faked(numbered, SECRET).select("group_id", "norm", "ty", "original", "token")
 
@@ -762,8 +761,8 @@ def text_with_group_map(spark, sf):
 def span_with_entity(spark, sf):
     found = _ru_orders(spark, sf).entities.select("group_id", "norm", "token")
     texts = C.corpus(spark, sf, C.RU_ORDERS)
-    spans = texts.select(*KEY, F.expr(detect.both_passes("text", "'ru'")).alias("spans"))
-    return entities.mentions(spans).join(found, ["group_id", "norm"]).select("doc_seq", "st", "token")
+    spans = detect.found_in(texts, KEY, lang="ru")
+    return spans.join(found, ["group_id", "norm"]).select("doc_seq", "st", "token")
 
 
 _RESOLVE = (
@@ -920,8 +919,7 @@ def department_labels(spark, sf):
 )
 def distinct_hidden_values(spark, sf):
     texts = C.corpus(spark, sf, C.RU_ORDERS)
-    spans = texts.select(*KEY, F.expr(detect.both_passes("text", "'ru'")).alias("spans"))
-    found = entities.mentions(spans)
+    found = detect.found_in(texts, KEY, lang="ru")
     # Distinct first, so a busy group is counted by many tasks.
     return found.select("group_id", "v").distinct().groupBy("group_id").agg(
         F.count(F.lit(1)).alias("hidden")
@@ -1484,10 +1482,8 @@ def _finish(running) -> None:
 )
 def stream_detection(spark, sf):
     rows = C.corpus(spark, sf, C.RU_CLIENTS)
-    spans = streaming.with_spans(_stream(spark, rows), lang="ru")
-    hits = spans.select("doc_seq", F.explode("spans").alias("s")).select(
-        "doc_seq", "s.pass", "s.st", "s.ty", "s.v"
-    )
+    hits = streaming.hits(_stream(spark, rows), ["doc_seq"], lang="ru")
+    hits = hits.select("doc_seq", "pass", "st", "ty", "v")
     out = fresh_path(spark, "stream-out")
     _finish(streaming.to_table(hits, out, fresh_path(spark, "stream-state")))
     return spark.read.schema(hits.schema).parquet(out)
@@ -1598,8 +1594,8 @@ def stream_hits_per_hour(spark, sf):
     events = C.table(spark, sf, "events").selectExpr(
         "cast(ts as timestamp) as ts", "concat('user', user_id, '@host.example did ', event_type) as text"
     )
-    spans = streaming.with_spans(_stream(spark, events, 4), lang="en")
-    hourly = streaming.hits_per_window(spans, "ts")
+    found = streaming.hits(_stream(spark, events, 4), ["ts"], lang="en")
+    hourly = streaming.hits_per_window(found, "ts")
     out = fresh_path(spark, "stream-out")
     _finish(streaming.to_table(hourly, out, fresh_path(spark, "stream-state")))
     return spark.read.schema(hourly.schema).parquet(out)

@@ -15,22 +15,19 @@ from veilframe.sources.sessions import append_sessions, new_sessions
 from veilframe.sources.sinks import append_audit
 
 
-def with_spans(stream: DataFrame, text: str = "text", lang: str = "auto") -> DataFrame:
-    """Stateless detection: the batch expression, unchanged, on a stream."""
-    column = f"`{text}`"
-    return stream.withColumn(
-        "spans", F.expr(D.both_passes(column, D.effective_lang(column, lang)))
-    )
+def hits(
+    stream: DataFrame, keep: list[str], text: str = "text", lang: str = "auto"
+) -> DataFrame:
+    """Stateless detection: the batch expression, unchanged, one row per span."""
+    return D.found_in(stream, keep, text, lang)
 
 
 def hits_per_window(
     stream: DataFrame, at: str, width: str = "1 hour", delay: str = "10 minutes"
 ) -> DataFrame:
-    """Hits per time window and type; ``stream`` has ``spans``."""
+    """Hits per time window and type, out of the rows of ``hits``."""
     return (
-        stream.select(at, F.explode("spans").alias("s"))
-        .select(at, F.col("s.ty").alias("ty"))
-        .withWatermark(at, delay)
+        stream.withWatermark(at, delay)
         .groupBy(F.window(at, width), "ty")
         .agg(F.count(F.lit(1)).alias("hits"))
         .select(F.col("window.start").alias("start"), "ty", "hits")
