@@ -17,6 +17,14 @@ LETTERS = "[a-zA-ZА-яЁё]"
 
 # First code point of decimal digit blocks besides ASCII that \d also matches.
 _DIGIT_BLOCKS = (0x0660, 0x06F0, 0x0966, 0xFF10)
+# What counts as whitespace, written as SQL escapes.
+_SPACES = "".join(
+    f"\\u{c:04x}"
+    for c in (
+        *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+        *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+    )
+)
 _OTHER_DIGITS = "".join(chr(base + i) for base in _DIGIT_BLOCKS for i in range(10))
 
 
@@ -40,8 +48,7 @@ def raw(pattern: str) -> str:
 
 def strip(text: str) -> str:
     """Whitespace of any script removed from both ends."""
-    head, tail = raw(r"(?U)^\s+"), raw(r"(?U)\s+$")
-    return f"regexp_replace(regexp_replace({text}, {head}, ''), {tail}, '')"
+    return f"trim(BOTH '{_SPACES}' FROM {text})"
 
 
 def norm(text: str) -> str:

@@ -20,12 +20,20 @@ from veilframe.operators.patterns import (
     SECOND_THRESHOLD,
     Pattern,
 )
+from veilframe.shared import spread
 
 
 # The cheap tests a pattern may name in ``needs``; each runs once per text.
 _GATES = {
     "digit": r"{t} rlike r'(?U)\d'",
-    "cyrillic": "{t} rlike '" + T.CYRILLIC + "'",
+    "3 digits": r"{t} rlike r'(?U)\d{{3}}'",
+    "6 digits": r"{t} rlike r'(?U)\d{{6}}'",
+    # Kelvin sign and long s are letters k and s to a pattern that ignores case.
+    "long word": (
+        r"({t} rlike r'\b[0-9A-Za-z]{{17}}' or "
+        "contains({t}, '\u017f') or contains({t}, '\u212a'))"
+    ),
+    "address": "contains({t}, ',') and {t} rlike '" + T.CYRILLIC + "'",
     "at": "contains({t}, '@')",
 }
 
@@ -33,8 +41,10 @@ _GATES = {
 def _matches(text: str, p: Pattern) -> str:
     """Matches of one pattern and the gaps between them; null if there is none."""
     regex = raw(p.compiled)
+    words = " or ".join(f"contains(upper({text}), '{w}')" for w in p.words)
+    worth = f"({words}) and " if words else ""
     return (
-        f"if({text} rlike {regex}, named_struct('ty', '{p.ty}', 'pr', {p.rank}, "
+        f"if({worth}{text} rlike {regex}, named_struct('ty', '{p.ty}', 'pr', {p.rank}, "
         f"'score', double('{p.score}'), 'luhn', {str(p.luhn).lower()}, "
         f"'found', regexp_extract_all({text}, {regex}, 0), 'gaps', {S.gaps_between(text, p.compiled)}), null)"
     )
@@ -154,6 +164,7 @@ def with_parts(
         ("_second", f"transform(_second, f -> {S.resolve_overlaps('f')})"),
         ("parts", joined),
     ]
+    df = spread(df)
     for name, sql in steps:
         df = df.withColumn(name, F.expr(sql))
     return df.drop("_lang", "_cut", "_first", "_open", "_second")

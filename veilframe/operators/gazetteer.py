@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veilframe.functions import spans as S
 from veilframe.functions.text import let
 from veilframe.operators.patterns import SECOND_THRESHOLD
+from veilframe.shared import spread
 
 # A mark that ends a phrase counts as a word of its own, so no name reaches over it.
 WORD = S.HARD_STOP + r"|[\p{L}\p{N}][\p{L}\p{N}_#'’-]*"
@@ -63,7 +64,7 @@ def gazetteer_spans(
     )
     if small_enough(forms):
         forms = F.broadcast(forms)
-    cut = units.select(*key, F.explode(F.expr(_sequences("text", longest))).alias("s"))
+    cut = spread(units.select(*key, "text")).select(*key, F.explode(F.expr(_sequences("text", longest))).alias("s"))
     return _per_unit(cut.select(*key, "s.*").join(forms, "form"), key)
 
 

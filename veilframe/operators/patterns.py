@@ -19,8 +19,10 @@ class Pattern:
     regex: str
     family: str
     rank: int = 0
-    # What the text must contain before the pattern is worth trying.
+    # What a text must contain for the pattern to be worth trying: a kind of
+    # characters, and one of some words in upper case.
     needs: str = "digit"
+    words: tuple[str, ...] = ()
     luhn: bool = False
     score: float = 1.0
     flags: str = FLAGS
@@ -63,10 +65,8 @@ RU_FORMATS = {
         r"(?=[+8])(?:(?<=\s)|(?<=\b)|^)(?:\+7|8)[-\s]?\(?\d{3}\)?[-\s]?\d{3}[-\s]?\d{2}[-\s]?\d{2}\b"
     ),
     "DRIVER_LICENSE_RU": r"(?=\d)\b\d{2}\s*(?:\d{2}|[А-ЯA-Z]{2})\s*\d{6}\b",
-    "OMS_RU": (
-        r"(?:(?<=\bОМС\s)|(?<=\bОМС:\s)|(?<=\bОМС:)|(?<=\bполис\s)|(?<=\bполис:\s)|(?<=\bполис:))\d{16}\b"
-        r"|(?:ОМС|полис|страхов)[:\s№]*?\d{16}"
-    ),
+    # Digits that follow the word are always found with the word itself.
+    "OMS_RU": r"(?:ОМС|полис|страхов)[:\s№]*?\d{16}",
     "ADDRESS_RU": (
         rf"\b(?:{_PREFIX}\s+[А-ЯЁа-яёA-Za-z0-9\-\.]+"
         rf"(?:\s*,\s*{_PART}?\s*[А-ЯЁа-яёA-Za-z0-9\-\.]+)+)"
@@ -101,7 +101,19 @@ EMAIL_FORMAT = (
 _KEYWORD = ("INN_RU", "SNILS_RU", "KPP_RU", "OMS_RU")
 _FIXED_PREFIX = ("BANK_ACCOUNT_RU", "BIK_RU")
 _CHECKSUM = ("CREDIT_CARD",)
-_NEEDS = {"ADDRESS_RU": "cyrillic", "VIN": "nothing"}
+# The longest run of digits that every match of a type contains, at least.
+_SIX_DIGITS = (
+    "PASSPORT_RU", "INTL_PASSPORT_RU", "INN_RU", "OGRN_RU", "KPP_RU", "BANK_ACCOUNT_RU", "BIK_RU",
+    "DRIVER_LICENSE_RU", "OMS_RU", "VOTER_ID_IN", "PASSPORT_IN", "DRIVING_LICENSE_IN", "PHONE_IN",
+)
+_NEEDS = {
+    **dict.fromkeys(RU_FORMATS | IN_FORMATS, "3 digits"),
+    **dict.fromkeys(_SIX_DIGITS, "6 digits"),
+    "IFSC_IN": "digit",
+    "ADDRESS_RU": "address",
+    "VIN": "long word",
+}
+_WORDS = {"INN_RU": ("ИНН", "INN"), "KPP_RU": ("КПП",), "OMS_RU": ("ОМС", "ПОЛИС", "СТРАХОВ")}
 
 
 def _rank(ty: str, position: int) -> int:
@@ -118,7 +130,8 @@ def _catalogue(formats: dict[str, str], family: str) -> list[Pattern]:
             regex,
             family,
             rank=_rank(ty, i),
-            needs=_NEEDS.get(ty, "digit"),
+            needs=_NEEDS[ty],
+            words=_WORDS.get(ty, ()),
             luhn=ty in _CHECKSUM,
         )
         for i, (ty, regex) in enumerate(formats.items())
@@ -130,7 +143,7 @@ IN = _catalogue(IN_FORMATS, "en")
 FIRST_PASS = {"ru": RU, "en": IN}
 SECOND_PASS = [
     Pattern("EMAIL_ADDRESS", EMAIL_FORMAT, "any", rank=0, needs="at", flags=""),
-    Pattern("CREDIT_CARD", RU_FORMATS["CREDIT_CARD"], "any", rank=1, luhn=True),
+    Pattern("CREDIT_CARD", RU_FORMATS["CREDIT_CARD"], "any", rank=1, needs="3 digits", luhn=True),
 ]
 BY_TYPE = {p.ty: p for p in RU + IN + SECOND_PASS[:1]}
 

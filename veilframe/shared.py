@@ -44,3 +44,22 @@ def staged(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Dat
     path = fresh_path(spark, label)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(df.columns)
+
+
+# Input below this many bytes per core is spread out before costly work on it.
+SPREAD_BYTES = 8 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a small input that comes in few splits.
+
+    Searching a text costs far more than moving it. Large inputs have splits
+    enough and are left as they are, so nothing large is shuffled here.
+    """
+    if df.isStreaming:
+        return df
+    context = df.sparkSession.sparkContext
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(leaves.apply(i).stats().sizeInBytes().longValue() for i in range(leaves.size()))
+    cores = context.defaultParallelism
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
