@@ -60,6 +60,6 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     context = df.sparkSession.sparkContext
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(leaves.apply(i).stats().sizeInBytes().longValue() for i in range(leaves.size()))
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     cores = context.defaultParallelism
     return df.repartition(cores) if size < cores * SPREAD_BYTES else df
