@@ -805,7 +805,7 @@ def _session_table(spark, sf) -> DataFrame:
         user_token=F.col("user_token"), filename=F.col("filename"), lang=F.col("lang"),
         created_at=F.col("created_at"),
     )
-    # Days are few and every task holds rows of all; one task per day writes it.
+    # Some thousand days of a few rows each: years will do as partitions here.
     sessions.append_sessions(made.withColumn("created_date", F.trunc("created_date", "year")), path)
     return sessions.read_sessions(spark, path)
 
@@ -1492,29 +1492,33 @@ def stream_detection(spark, sf):
 _STREAM_BATCHES = 3
 
 
-def _stream_in_order(spark, rows: DataFrame, by: str) -> DataFrame:
-    """A stream whose files follow ``by``: files are taken in the order they are written."""
+def _in_order(spark, rows: DataFrame, by: str, start) -> None:
+    """Feed a stream in the order of ``by``: each stretch arrives, and is then taken.
+
+    ``start`` begins the same stream again, from its checkpoint.
+    """
     path = fresh_path(spark, "stream")
     low, high = rows.agg(F.min(by), F.max(by)).first()
     step = (high - low) / _STREAM_BATCHES
     for i in range(_STREAM_BATCHES):
         upper = F.col(by) < F.lit(low + step * (i + 1)) if i < _STREAM_BATCHES - 1 else F.lit(True)
-        part = rows.where((F.col(by) >= F.lit(low + step * i)) & upper)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows.where((F.col(by) >= F.lit(low + step * i)) & upper).write.mode("append").parquet(path)
+        _finish(start(spark.readStream.schema(rows.schema).parquet(path)))
 
 
 @query("stream_masking", f"SELECT doc_seq, masked_text FROM ({oracle.masked(C.RU_CLIENTS, oracle.RU_TYPES)})")
 def stream_masking(spark, sf):
     """Tokens kept over micro-batches, and sessions and audit lines written."""
     rows = C.corpus(spark, sf, C.RU_CLIENTS)
-    stream = _stream_in_order(spark, rows, "doc_seq")
-    out = fresh_path(spark, "stream-out")
-    running = streaming.masked_stream(
-        stream, out, fresh_path(spark, "stream-state"), lang="ru", secret=SECRET,
-        sessions=f"{out}/sessions", audits=f"{out}/audit",
-    )
-    _finish(running)
+    out, state = fresh_path(spark, "stream-out"), fresh_path(spark, "stream-state")
+
+    def start(stream):
+        return streaming.masked_stream(
+            stream, out, state, lang="ru", secret=SECRET,
+            sessions=f"{out}/sessions", audits=f"{out}/audit",
+        )
+
+    _in_order(spark, rows, "doc_seq", start)
     return spark.read.parquet(f"{out}/masked").select("doc_seq", "masked_text")
 
 
@@ -1546,13 +1550,12 @@ def stream_group_expiry(spark, sf):
         ),
         "doc_seq",
     )
-    stream = _stream_in_order(spark, orders, "at")
-    out = fresh_path(spark, "stream-out")
-    _finish(
-        streaming.masked_stream(
-            stream, out, fresh_path(spark, "stream-state"), lang="ru", at="at", ttl="24 hours"
-        )
-    )
+    out, state = fresh_path(spark, "stream-out"), fresh_path(spark, "stream-state")
+
+    def start(stream):
+        return streaming.masked_stream(stream, out, state, lang="ru", at="at", ttl="24 hours")
+
+    _in_order(spark, orders, "at", start)
     return spark.read.parquet(f"{out}/entities").select("group_id", "norm", "token", "seen_at")
 
 
@@ -1564,11 +1567,12 @@ def stream_late_messages(spark, sf):
         "event_id", "cast(ts as timestamp) as ts",
         "cast(ts as timestamp) + if(event_id % 50 = 0, interval '30' day, interval '0' day) as arrived",
     )
-    stream = _stream_in_order(spark, events, "arrived")
-    out = fresh_path(spark, "stream-out")
-    _finish(
-        streaming.late_to_quarantine(stream, "ts", "1 hour", out, fresh_path(spark, "stream-state"))
-    )
+    out, state = fresh_path(spark, "stream-out"), fresh_path(spark, "stream-state")
+
+    def start(stream):
+        return streaming.late_to_quarantine(stream, "ts", "1 hour", out, state)
+
+    _in_order(spark, events, "arrived", start)
     parts = spark.read.parquet(f"{out}/on_time").unionByName(spark.read.parquet(f"{out}/late"))
     return parts.agg(F.count(F.lit(1)).alias("messages"))
 
