@@ -11,6 +11,7 @@ from veilframe.plans.jobs import (  # noqa: F401
     mask_table,
     restore,
     restore_files,
+    restore_group,
     restore_rows,
     scan_report,
 )
