@@ -108,3 +108,34 @@ def phrases(text):
     w = plain_words(text)
     found = [(i, label) for p, label in PHRASES.items() for i in range(len(w)) if tuple(w[i : i + len(p)]) == p]
     return len(w), sorted(i for i, _ in found), sorted({label for _, label in found})
+
+
+def mix_targets(sources: dict) -> dict:
+    """Words that each source should give, by sharing out again what is over a cap."""
+    order = sorted((s for s in sources if s is not None)) + [s for s in sources if s is None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    left, free, out = 1.5 * sum(sources.values()), set(order), {}
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 2 * sources[s]}
+        if not over:
+            return out | {s: level * weight[s] for s in free}
+        out |= {s: 2.0 * sources[s] for s in over}
+        left -= sum(2.0 * sources[s] for s in over)
+        free -= over
+    return out
+
+
+def masked(text) -> str:
+    """Base kinds of personal data replaced; spans that overlap are one."""
+    spans = sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in pii(text)))
+    out, at, merged = [], 0, []
+    for a, b, k in spans:
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b, k])
+    for a, b, k in merged:
+        out += [(text or "")[at:a], f"<{k.upper()}>"]
+        at = b
+    return "".join(out) + (text or "")[at:]
