@@ -111,7 +111,11 @@ def number_entities(first: DataFrame, existing: DataFrame | None = None) -> Data
     if existing is None:
         return with_ordinals(first, ["group_id", "ty"], "doc_seq", tie)
     fresh = first.join(existing.select("group_id", "norm"), ["group_id", "norm"], "left_anti")
-    taken = existing.groupBy("group_id", "ty").agg(F.count(F.lit(1)).alias("_taken"))
+    # Maps may have gaps, so the highest number counts; stand-ins carry none and are counted.
+    number = F.coalesce(F.expr(r"try_cast(regexp_extract(token, r'^<[A-Z][A-Z_]*_([0-9]+)>$', 1) as bigint)"), F.lit(0))
+    taken = existing.groupBy("group_id", "ty").agg(
+        F.greatest(F.count(F.lit(1)), F.max(number)).alias("_taken")
+    )
     return (
         with_ordinals(fresh, ["group_id", "ty"], "doc_seq", tie)
         .join(taken, ["group_id", "ty"], "left")

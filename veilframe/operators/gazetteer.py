@@ -46,14 +46,15 @@ def gazetteer_spans(
     units: DataFrame,
     gazetteer: DataFrame,
     key: list[str],
-    longest: int = 3,
+    longest: int | None = None,
     threshold: float = SECOND_THRESHOLD,
 ) -> DataFrame:
     """Per unit the names found, as spans: ``key`` columns and ``spans``.
 
     ``gazetteer`` has form (words in lower case, one space between), ty, score.
     A small list is broadcast; a large one is joined by shuffle, where adaptive
-    execution splits the sequences that are most frequent.
+    execution splits the sequences that are most frequent. Names are as long as
+    the longest of the list, unless ``longest`` sets a number of words.
     """
     best = F.min(F.struct((-F.col("score")).alias("minus"), "ty")).alias("b")
     forms = (
@@ -62,6 +63,8 @@ def gazetteer_spans(
         .agg(best)
         .select("form", "b.ty", (-F.col("b.minus")).cast("double").alias("score"))
     )
+    if longest is None:
+        longest = forms.agg(F.max(F.size(F.split("form", " ")))).first()[0] or 1
     if small_enough(forms):
         forms = F.broadcast(forms)
     cut = spread(units.select(*key, "text")).select(*key, F.explode(F.expr(_sequences("text", longest))).alias("s"))

@@ -90,7 +90,7 @@ def mask(
 ) -> MaskResult:
     """Replace every identifier of a text column by a token of its group.
 
-    ``seq`` orders the texts of a group and, with ``unit``, tells them apart.
+    A null ``seq`` fails the job. ``seq`` orders the texts of a group and, with ``unit``, tells them apart.
     ``mode`` is ``tags`` or ``fake`` (needs ``secret``). ``existing`` is the
     entity table of earlier runs of the same groups; a group has one writer at a
     time. ``gazetteer`` adds names from a list, ``names`` spans found elsewhere
@@ -104,6 +104,8 @@ def mask(
     if mode == "fake" and not secret:
         raise ValueError("fake tokens need a secret")
     units = _keyed(df, text, seq, group, unit)
+    missing = F.raise_error(f"{seq} is null: texts cannot be told apart")
+    units = units.withColumn("doc_seq", F.when(F.col("doc_seq").isNull(), missing).otherwise(F.col("doc_seq")))
     if reuse:
         return _mask_once(
             units, text, mode=mode, lang=lang, secret=secret, existing=existing,

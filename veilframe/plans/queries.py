@@ -706,16 +706,13 @@ def restore_fakes(spark, sf):
     "SELECT o_orderkey AS k, 'see order ' || o_orderkey || ' and ' || o_orderpriority || '!' AS restored FROM orders",
 )
 def restore_by_fold(spark, sf):
-    """Small maps: every token replaced in turn, longest first."""
+    """Small maps: every token replaced in turn, longest first; large ones by a join."""
     tokens = C.corpus(spark, sf, C.SESSION_TOKENS)
-    maps = restoring.small_maps(tokens, ["session_id"])
     texts = C.table(spark, sf, "orders").selectExpr(
         "o_orderkey as k", "md5(cast(o_orderkey as string)) as session_id",
         "concat('see <ORDER_', o_orderkey, '> and <PRIORITY_1>!') as text",
     )
-    return texts.join(maps, "session_id").select(
-        "k", restoring.fold_map(F.col("text"), F.col("token_map")).alias("restored")
-    )
+    return restoring.restore_folding(texts, "text", tokens, ["session_id"], ["k"], "restored").select("k", "restored")
 
 
 @query(
@@ -930,14 +927,14 @@ def entities_per_session(spark, sf):
     "group_map_as_json",
     f"WITH s AS ({C.SESSIONS}), t AS ({C.SESSION_TOKENS}), m AS (SELECT s.group_id, t.token, arg_max(t.original, "
     "{'a': s.created_at, 'b': s.session_id}) AS original FROM s JOIN t ON s.session_id = t.session_id "
-    "WHERE s.group_id IS NOT NULL GROUP BY ALL), c AS (SELECT group_id FROM m GROUP BY group_id HAVING count(*) <= 256) "
+    "WHERE s.group_id IS NOT NULL GROUP BY ALL) "
     "SELECT group_id, '{' || string_agg('\"' || token || '\":\"' || original || '\"', ',' ORDER BY token) || '}' AS map "
-    "FROM m WHERE group_id IN (SELECT group_id FROM c) GROUP BY group_id",
+    "FROM m GROUP BY group_id",
 )
 def group_map_as_json(spark, sf):
-    """The merged map of each small group as one value; large ones stay rows."""
+    """The merged map of each group as one value."""
     merged = sessions.group_map(_session_tokens(spark, sf))
-    maps = restoring.small_maps(merged, ["group_id"])
+    maps = restoring.scope_maps(merged, ["group_id"])
     ordered = F.map_from_entries(F.array_sort(F.map_entries("token_map")))
     return maps.select("group_id", crypto.encode_map(ordered).alias("map"))
 
