@@ -5,7 +5,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from veilframe.plans import files
-from veilframe.sources import leaves
+from veilframe.sources import containers, leaves
 from veilframe.sources.containers import text_units
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -48,6 +48,21 @@ def test_containers(spark):
     assert len(texts["f/e.zip", "error"]) == 2
 
 
+def test_a_member_that_cannot_be_read_stops_no_other():
+    raw = bytearray(packed(**{"a.txt": "locked", "b.txt": "open"}))
+    # The sign of an encrypted member, in its own header and in the directory.
+    raw[raw.index(b"PK\x03\x04") + 6] |= 1
+    raw[raw.index(b"PK\x01\x02") + 8] |= 1
+    found = list(containers._units("z.zip", bytes(raw)))
+    assert [(m, k) for m, k, _ in found] == [("z.zip/a.txt", "error"), ("z.zip/b.txt", "txt")]
+
+
+def test_cells_of_formulas_and_cells_without_value():
+    sheet = f'<worksheet {S}><c t="str"><v>joined</v></c><c t="s"/><c t="str"/></worksheet>'
+    found = list(containers._units("s.xlsx", packed(**{"xl/worksheets/sheet1.xml": sheet})))
+    assert found == [("s.xlsx", "xlsx", "joined")]
+
+
 def test_folder_round_trip(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()

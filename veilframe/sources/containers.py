@@ -68,8 +68,12 @@ def _sheets(archive: zipfile.ZipFile) -> Iterator[str]:
     pages = (n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
     for part in sorted(pages, key=_numbered):
         for cell in ElementTree.fromstring(archive.read(part)).iter(f"{S}c"):
-            if cell.get("t") == "s":
-                yield shared[int(cell.find(f"{S}v").text)]
+            value = cell.findtext(f"{S}v") or ""
+            if cell.get("t") == "s" and value:
+                yield shared[int(value)]
+            elif cell.get("t") == "str":
+                # What a formula gave.
+                yield value
             elif cell.get("t") == "inlineStr":
                 yield _texts(cell, f"{S}t")
 
@@ -94,8 +98,7 @@ def _units(name: str, content: bytes) -> Iterator[tuple[str, str, str]]:
             with zipfile.ZipFile(io.BytesIO(content)) as archive:
                 for item in archive.infolist():
                     if not item.is_dir():
-                        for member, k, text in _units(item.filename, archive.read(item)):
-                            yield posixpath.join(name, member), k, text
+                        yield from _member_units(name, archive, item)
         elif kind in _READERS:
             with zipfile.ZipFile(io.BytesIO(content)) as archive:
                 found = list(_READERS[kind](archive))
@@ -106,10 +109,21 @@ def _units(name: str, content: bytes) -> Iterator[tuple[str, str, str]]:
             yield name, kind, content.decode("utf-8", errors="ignore")
         else:
             yield name, "error", f"format {kind} is not supported"
-    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError) as problem:
+    except Exception as problem:  # noqa: BLE001 - a file that fails in any way is set aside, the others go on
         yield name, "error", f"{type(problem).__name__}: {problem}"
 
 
+def _member_units(name: str, archive: zipfile.ZipFile, item: zipfile.ZipInfo) -> Iterator[tuple[str, str, str]]:
+    """The units of one member; an encrypted or damaged one stops no other."""
+    try:
+        content = archive.read(item)
+    except Exception as problem:  # noqa: BLE001
+        yield posixpath.join(name, item.filename), "error", f"{type(problem).__name__}: {problem}"
+        return
+    for member, kind, text in _units(item.filename, content):
+        yield posixpath.join(name, member), kind, text
+
+
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):

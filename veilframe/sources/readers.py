@@ -110,7 +110,14 @@ def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     listing = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     )
-    packed = text_units(listing.where(kind_of(F.col("path")) == "container"))
+    # Only the bytes of containers are read; the listing itself takes paths alone.
+    containers = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.{" + ",".join(KINDS["container"]) + "}")
+        .load(path)
+    )
+    packed = text_units(containers)
     content = F.col("content")
     rows = whole("text", F.array(content))
     for more in (
