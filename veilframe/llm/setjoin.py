@@ -170,7 +170,7 @@ def inverted(sets: list[np.ndarray]) -> dict:
 
 
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """Per document (id, n, key, sig); and rows (token, seen) of frequent shingles."""
+    """Per document (id, hash, n, key, sig); and rows (token, seen) of frequent shingles."""
 
     def run(batches):
         tokens: list[np.ndarray] = []
@@ -180,18 +180,19 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
             t, c = np.unique(np.concatenate(tokens), return_counts=True)
             return t[c >= SEEN], c[c >= SEEN]
 
-        def rows(ids, n, key, sig, t, c):
+        def rows(ids, hashes, n, key, sig, t, c):
             a, b = len(n), len(t)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.concat_arrays([ids, pa.nulls(b, ids.type)]),
+                    pa.concat_arrays([hashes, pa.nulls(b, pa.int64())]),
                     pa.array([*n, *[None] * b], pa.int64()),
                     pa.array([*key, *[None] * b], BINARY),
                     pa.array([*sig, *[None] * b], BINARY),
                     pa.concat_arrays([pa.nulls(a, pa.int64()), as_long(t)]),
                     pa.array([*[None] * a, *c.tolist()], pa.int64()),
                 ],
-                ["id", "n", "key", "sig", "token", "seen"],
+                ["id", "hash", "n", "key", "sig", "token", "seen"],
             )
 
         none = np.zeros(0, np.uint64)
@@ -212,14 +213,14 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
             if held >= CHUNK:
                 t, c = frequent()
                 tokens, known, held = [], set(), 0
-            yield rows(batch.column(0), n, keys, sigs, t, c)
+            yield rows(batch.column(0), batch.column(2), n, keys, sigs, t, c)
         if tokens:
             t, c = frequent()
-            yield rows(pa.nulls(0, kind), [], [], [], t, c)
+            yield rows(pa.nulls(0, kind), pa.nulls(0, pa.int64()), [], [], [], t, c)
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.mapInArrow(
-        run, f"id {kind}, n long, key binary, sig binary, token long, seen long"
+        run, f"id {kind}, hash long, n long, key binary, sig binary, token long, seen long"
     )
 
 
@@ -264,26 +265,32 @@ def postings(docs: DataFrame, k: int, frequent) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, k: int, bits) -> DataFrame:
-    """(key, shingles) of the classes whose key the filter lets pass."""
+    """(key, shingles) of the documents whose text's hash the filter lets pass.
+
+    The others are left before their words are cut.
+    """
 
     def run(batches):
         bitmap = np.frombuffer(bits.value, np.uint8)
         known: set[bytes] = set()
-        for batch in slices(batches, "text"):
+        wanted = (
+            batch.filter(pa.array(may_hold(bitmap, batch.column(1).to_numpy().view(np.uint64))))
+            for batch in batches
+        )
+        for batch in slices(wanted, "text"):
             keys, sets = [], []
             for s in shingle_sets(batch.column(0), k):
                 if not len(s) or (key := class_key(s)) in known:
                     continue
-                if may_hold(bitmap, np.frombuffer(key, np.uint64)[:1])[0]:
-                    known.add(key)
-                    keys.append(key)
-                    sets.append(s.tobytes())
+                known.add(key)
+                keys.append(key)
+                sets.append(s.tobytes())
             if keys:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys, BINARY), pa.array(sets, BINARY)], ["key", "shingles"]
                 )
 
-    return docs.select("text").mapInArrow(run, "key binary, shingles binary")
+    return docs.select("text", "hash").mapInArrow(run, "key binary, shingles binary")
 
 
 # --- posting lists -------------------------------------------------------------------------
@@ -402,15 +409,16 @@ def rest_pairs(rows: DataFrame) -> DataFrame:
 # --- search ---------------------------------------------------------------------------------
 
 
-def search(docs: DataFrame, k: int, pairs: DataFrame) -> DataFrame:
+def search(docs: DataFrame, k: int, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (q, d) whose sets reach the threshold, with their overlap.
 
-    ``pairs`` must have nq, the size of q's set, and each pair once.
+    ``pairs`` must have nq, the size of q's set, and each pair once; ``classes`` names
+    the hash of one text for each key.
     """
     spark = docs.sparkSession
     pairs = staged(pairs.select("q", "d", "nq"), "setjoin-pairs")
     keys = pairs.select(F.col("q").alias("key")).union(pairs.select("d")).distinct()
-    bits = spark.sparkContext.broadcast(key_filter(keys, "key"))
+    bits = spark.sparkContext.broadcast(key_filter(classes.join(keys, "key", "left_semi"), "hash"))
     sets = staged(
         sets_of(docs, k, bits).join(keys, "key", "left_semi").dropDuplicates(["key"]), "setjoin-sets"
     )
@@ -520,7 +528,7 @@ def jaccard_links(docs: DataFrame, k: int = WORDS, doc_id: str = "doc_id", text:
     The links connect just those classes that all links together connect.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
     passed = staged(profiles(source, k), "setjoin-profiles")
     profile = passed.where("n is not null").select("id", "n", "key")
     classes = passed.where("key is not null").select("key", "n", "sig").dropDuplicates(["key"])
@@ -551,6 +559,8 @@ def jaccard_links(docs: DataFrame, k: int = WORDS, doc_id: str = "doc_id", text:
         .where("head != key")
         .distinct()
     )
+    # One text of each class, by its hash, is enough to find its set again.
+    texts = passed.where("key is not null").groupBy("key").agg(F.min("hash").alias("hash"))
     sig = classes.select("key", "sig")
     stars = stars.join(sig, "key").join(
         sig.select(F.col("key").alias("head"), F.col("sig").alias("head_sig")), "head"
@@ -565,7 +575,7 @@ def jaccard_links(docs: DataFrame, k: int = WORDS, doc_id: str = "doc_id", text:
     likely = stars.mapInArrow(allowed, kinds).select(
         F.col("head").alias("q"), F.col("key").alias("d"), F.col("head_n").alias("nq")
     )
-    first = staged(search(source, k, likely), "setjoin-links")
+    first = staged(search(source, k, likely, texts), "setjoin-links")
     found = components(first)
 
     # Lists that still hold several components.
@@ -592,7 +602,7 @@ def jaccard_links(docs: DataFrame, k: int = WORDS, doc_id: str = "doc_id", text:
         asking.select(*columns, F.lit(False).alias("own"))
     )
     left = rest_pairs(blocks).distinct().join(classes.select(F.col("key").alias("q"), F.col("n").alias("nq")), "q")
-    second = search(source, k, left)
+    second = search(source, k, left, texts)
     return profile, first.unionByName(second)
 
 
