@@ -2,10 +2,11 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from veilframe.plans import files
-from veilframe.sources import containers, leaves
+from veilframe.sources import containers, leaves, readers
 from veilframe.sources.containers import text_units
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -63,6 +64,14 @@ def test_cells_of_formulas_and_cells_without_value():
     assert found == [("s.xlsx", "xlsx", "joined")]
 
 
+def test_a_row_beyond_the_width_is_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("1,2,3\n4\n")
+    path = str(tmp_path)
+    assert sorted(r.cells for r in readers.read_cells(spark, path, width=3).collect()) == [["1", "2", "3"], ["4"]]
+    with pytest.raises(Exception, match="more than 2 cells"):
+        readers.read_cells(spark, path, width=2).collect()
+
+
 def test_folder_round_trip(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()

@@ -59,7 +59,7 @@ def read_cells(spark: SparkSession, path: str, sep: str = ",", width: int = 256)
     Rows may differ in length, up to ``width`` cells; a longer row is an error.
     """
     kind = "tsv" if sep == "\t" else "csv"
-    schema = ", ".join([f"c{i} string" for i in range(width)] + ["malformed string"])
+    schema = ", ".join([f"c{i} string" for i in range(width)] + ["beyond string"])
     rows = (
         spark.read.schema(schema)
         .option("sep", sep)
@@ -70,7 +70,11 @@ def read_cells(spark: SparkSession, path: str, sep: str = ",", width: int = 256)
         .option("pathGlobFilter", f"*.{kind}")
         .csv(path)
     )
-    cells = F.array(*[F.col(f"c{i}") for i in range(width)])
+    too_long = F.raise_error(F.lit(f"a row has more than {width} cells; read_cells takes a larger width"))
+    # What stands beyond the width must not be lost in silence.
+    cells = F.when(F.col("beyond").isNotNull(), too_long).otherwise(
+        F.array(*[F.col(f"c{i}") for i in range(width)])
+    )
     filled = F.slice(
         cells,
         F.lit(1),
