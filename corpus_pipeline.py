@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from veilframe.llm import decontaminate, mixing, pii, setjoin
 from veilframe.llm.common import read, staged
-from veilframe.llm.queries import KEEP_FROM, quality_scores
+from veilframe.llm.queries import kept, quality_scores
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier takes for good, neither harmful nor poor."""
     scored = quality_scores(spark, docs, sf_dir)
-    return scored.where(F.element_at("grade_probabilities", 1) >= KEEP_FROM).select(docs.columns)
+    return scored.where(kept()).select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

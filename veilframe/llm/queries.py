@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import ann, chat, decontaminate, html, licenses, mixing, pii, quality, setjoin, warc
@@ -21,10 +21,15 @@ def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.graded(docs, model)
 
 
-# Documents stay if they are good or poor rather than harmful, with this probability.
+# Documents stay if they are rather good than poor or harmful: P(grade > 1) is at least this.
 KEEP_FROM = 0.5
 
 
+def kept() -> Column:
+    """Does a document of quality_scores() stay? The pipeline's first stage asks the same."""
+    return F.col("tail_probability") >= KEEP_FROM
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality_scores(spark, docs, sf_dir)
@@ -33,7 +38,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "expected_grade",
         "tail_probability",
         F.element_at("grade_probabilities", 1).alias("safe_probability"),
-        (F.element_at("grade_probabilities", 1) >= KEEP_FROM).alias("keep"),
+        kept().alias("keep"),
     )
 
 
