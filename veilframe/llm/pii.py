@@ -8,6 +8,12 @@ lengths, taken in blocks, so very many matches in one text stay affordable.
 Patterns are possessive and start only where a longer match could not have begun
 earlier. That changes no match, but keeps the search linear on very long runs.
 
+Where an account number ends is not a matter of form: groups of digits or capitals
+may follow it. So every place that looks like the start of one is tried, with each
+end at a sign boundary that leaves 15 to 34 signs. Of the ends that the checksum
+confirms the one of the country's length counts, or else the last. Numbers found
+from two starts may overlap.
+
 Edge cases: a null text is empty and has no spans; a null doc_id stays null;
 repeated rows give repeated result rows; other input columns play no part.
 """
@@ -26,7 +32,7 @@ CONTEXT_BONUS = 0.3
 # Kinds that a pattern alone does not prove need at least this score.
 ENOUGH = 0.6
 
-MATCH = "struct<st:int,en:int,v:string,near:string>"
+MATCH = "struct<st:int,en:int,v:string,w:string,near:string>"
 
 
 @dataclass(frozen=True)
@@ -38,6 +44,8 @@ class Kind:
     prior: float
     context: str  # words that raise the score, as a pattern
     base: bool = True
+    # SQL: how many characters of w, what the pattern's group saw after v, belong to the match; null if it is none.
+    more: str = ""
 
 
 DIGITS = "regexp_replace(v, '[^0-9]', '')"
@@ -46,6 +54,19 @@ PLAIN_PART = "trim(leading '0' from p)"
 MOD_97 = """aggregate(split(concat(substring(replace(v, ' ', ''), 5), substring(replace(v, ' ', ''), 1, 4)), ''),
   0, (a, c) -> case when c = '' then a when c between '0' and '9' then (a * 10 + ascii(c) - 48) % 97
   else (a * 100 + ascii(c) - 55) % 97 end)"""
+# Signs of an account number by country.
+LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 "
+    "ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 "
+    "LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 "
+    "PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+)
+SIGNS = "length(replace(concat(v, substring(w, 1, n)), ' ', ''))"
+# v: country and check digits, w: at most 30 more signs.
+ACCOUNT_END = f"""array_max(transform(
+  filter(sequence(11, length(w)), n -> substring(w, n, 1) != ' ' and substring(w, n + 1, 1) in ('', ' ')
+    and {SIGNS} between 15 and 34 and exists(array(concat(v, substring(w, 1, n))), v -> {MOD_97} = 1)),
+  n -> named_struct('known', contains('{LENGTHS}', concat(substring(v, 1, 2), {SIGNS})), 'n', n))).n"""
 
 KINDS = (
     Kind(
@@ -83,11 +104,12 @@ KINDS = (
     Kind(
         "iban",
         r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
-        f"{MOD_97} = 1",
+        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])))",
+        "true",
         0.9,
         r"(?i)iban|account|bank|konto|compte|cuenta",
         base=False,
+        more=ACCOUNT_END,
     ),
     Kind(
         "ssn",
@@ -110,10 +132,10 @@ def _running(items: str, amount: str, out: str, item: str) -> str:
 
 
 def _located(pairs: str) -> str:
-    """SQL: matches with offsets from ``pairs`` of match v and gap g before it."""
+    """SQL: matches with offsets from ``pairs`` of match v, gap g before it and text w seen after it."""
     match = (
         "named_struct('st', acc.p + length(x.g), 'en', acc.p + length(x.g) + length(x.v), "
-        f"'v', x.v, 'near', right(x.g, {REACH}))"
+        f"'v', x.v, 'w', x.w, 'near', right(x.g, {REACH}))"
     )
     block = _running(
         f"slice({pairs}, i * {BLOCK} + 1, {BLOCK})", "length(x.g) + length(x.v)", MATCH, match
@@ -126,10 +148,11 @@ def matches(docs: DataFrame, kind: Kind, text: str, to: str) -> DataFrame:
     t, p = F.col(text), F.lit(kind.pattern)
     tried = F.when(t.rlike(kind.gate), F.regexp_extract_all(t, p, F.lit(0)))
     df = docs.withColumn("_ms", tried)
-    pairs = F.zip_with(
-        "_ms",
-        F.slice(F.split(t, kind.pattern, -1), F.lit(1), F.size("_ms")),
-        lambda v, g: F.struct(v.alias("v"), g.alias("g")),
+    gaps = F.slice(F.split(t, kind.pattern, -1), F.lit(1), F.size("_ms"))
+    after = F.regexp_extract_all(t, p, F.lit(1)) if kind.more else F.array_repeat(F.lit(""), F.size("_ms"))
+    pairs = F.expr("transform(_zs, x -> named_struct('v', x._ms, 'g', x._gs, 'w', x._ws))")
+    df = df.withColumn(
+        "_zs", F.when(F.size("_ms") > 0, F.arrays_zip("_ms", gaps.alias("_gs"), after.alias("_ws")))
     )
     df = df.withColumn("_ps", F.when(F.size("_ms") > 0, pairs)).withColumn(
         "_bs", F.expr(f"if(_ps is null, null, {_located('_ps')})")
@@ -137,9 +160,16 @@ def matches(docs: DataFrame, kind: Kind, text: str, to: str) -> DataFrame:
     bases = _running("_bs", "x.p", "int", "acc.p")
     spans = (
         f"flatten(zip_with(_bs, ({bases}).o, (b, o) -> transform(b.o, m -> named_struct("
-        "'st', m.st + o, 'en', m.en + o, 'v', m.v, 'near', m.near))))"
+        "'st', m.st + o, 'en', m.en + o, 'v', m.v, 'w', m.w, 'near', m.near))))"
     )
     df = df.withColumn("_fs", F.expr(f"if(_bs is null, cast(array() as array<{MATCH}>), {spans})"))
+    if kind.more:
+        whole = (
+            "named_struct('st', m.st, 'en', m.en + n, 'v', concat(m.v, substring(m.w, 1, n)), 'w', '', 'near', m.near)"
+        )
+        ends = f"flatten(transform(array(m.v), v -> transform(array(m.w), w -> {kind.more})))"
+        ended = f"transform(filter({ends}, n -> n is not null), n -> {whole})"
+        df = df.withColumn("_fs", F.expr(f"flatten(transform(_fs, m -> {ended}))"))
     score = f"{kind.prior}D + if(m.near rlike r'{kind.context}', {CONTEXT_BONUS}D, 0D)"
     keep = "" if kind.base else f" and {score} >= {ENOUGH}D"
     checked = (
@@ -147,7 +177,7 @@ def matches(docs: DataFrame, kind: Kind, text: str, to: str) -> DataFrame:
         f"named_struct('kind', '{kind.name}', 'start', m.st, 'end', m.en, 'value', m.v, "
         f"'score', least({score}, 1D)))"
     )
-    return df.withColumn(to, F.expr(checked)).drop("_ms", "_ps", "_bs", "_fs")
+    return df.withColumn(to, F.expr(checked)).drop("_ms", "_zs", "_ps", "_bs", "_fs")
 
 
 def find_pii(docs: DataFrame, text: str = "text", to: str = "pii", kinds=KINDS) -> DataFrame:
