@@ -3,9 +3,10 @@
 A page is parsed once into text blocks in page order. Every element that holds
 blocks is hashed with all that is below it. Spark counts, per host, on how many
 different pages each subtree stands, and subtrees that recur are deleted, with
-their blocks. Pages with equal html count once, so copies of a page are no
-template; neither are paragraphs and the like inside an article, which may quote
-each other, nor the article itself.
+their blocks. Pages with the same main text count once, so copies of a page, also
+with another menu or link, are no template; neither are paragraphs and the like
+inside an article, which may quote each other, the article itself, what stands
+around it, or any element with more than three quarters of a page's main text.
 
 Rules go beside the counts: elements that are menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles or comments by tag, class, id or role
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +34,8 @@ from veilframe.llm.common import staged
 # A subtree is a template from so many different pages, and this share of its host's.
 MIN_PAGES = 5
 MIN_SHARE = 0.05
+# An element with more than this share of its page's main text is no template.
+MOST = 0.75
 # Templates that hold this share of all subtrees or more are told to every task: at most 1000.
 HEAVY_SHARE = 1000
 
@@ -79,7 +83,7 @@ class Page(HTMLParser):
         self.blocks: list[tuple[str, int]] = []  # text; 2 in an article, 1 in main, 0 elsewhere, -1 aside
         self.subtrees: list[tuple[int, int, int]] = []  # hash, first block, end block
         self.best = 0
-        self.open: list[list] = []  # tag, level before, first block, digest
+        self.open: list[list] = []  # tag, level before, first block, digest, highest level of its blocks
         self.level = 0
         self.silent = 0
         self.words: list[str] = []
@@ -91,6 +95,7 @@ class Page(HTMLParser):
             self.blocks.append((text, self.level))
             if self.open:
                 self.open[-1][3].update(b"\0" + text.encode("utf-8", "replace"))
+                self.open[-1][4] = max(self.open[-1][4], self.level)
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
@@ -100,7 +105,7 @@ class Page(HTMLParser):
             self.words.append(" ")
         if tag in VOID:
             return
-        self.open.append([tag, self.level, len(self.blocks), hashlib.blake2b(tag.encode(), digest_size=8)])
+        self.open.append([tag, self.level, len(self.blocks), hashlib.blake2b(tag.encode(), digest_size=8), -1])
         if tag in NO_TEXT:
             self.silent += 1
         if self.level >= 0:
@@ -137,17 +142,20 @@ class Page(HTMLParser):
 
     def end_to(self, i: int):
         while len(self.open) > i:
-            tag, before, first, digest = self.open[-1]
+            tag, before, first, digest, _ = self.open[-1]
             if tag in BLOCK or before != self.level:
                 self.flush()
-            self.open.pop()
+            high = self.open.pop()[4]
             if tag in NO_TEXT:
                 self.silent -= 1
             value = digest.digest()
             if self.open:
                 self.open[-1][3].update(b"\1" + value)
+                self.open[-1][4] = max(self.open[-1][4], high)
             quoted = tag in TEXT and self.level > 0
-            if tag in BLOCK and tag not in ROOT and not quoted and first < len(self.blocks):
+            # Its level, before a main element or article in it raised that of their blocks.
+            around = high > max(self.level, 0)
+            if tag in BLOCK and tag not in ROOT and not quoted and not around and first < len(self.blocks):
                 self.subtrees.append((int.from_bytes(value, "big", signed=True), first, len(self.blocks)))
             self.level = before
 
@@ -165,18 +173,28 @@ class Page(HTMLParser):
         self.close()
         self.end_to(0)
         self.flush()
+        sizes = [len(text) if level == self.best else 0 for text, level in self.blocks]
+        up_to = [0, *accumulate(sizes)]
+        most = MOST * up_to[-1]
+        self.subtrees = [s for s in self.subtrees if not 0 < most < up_to[s[2]] - up_to[s[1]]]
         return self
 
+    def core(self) -> int:
+        """A hash of the main text."""
+        main = "\n".join(text for text, level in self.blocks if level == self.best)
+        value = hashlib.blake2b(main.encode("utf-8", "replace"), digest_size=8).digest()
+        return int.from_bytes(value, "big", signed=True)
+
 
 PARSED = (
-    "page_id {id}, url string, page long, main array<boolean>, blocks array<string>, "
+    "page_id {id}, url string, page long, core long, main array<boolean>, blocks array<string>, "
     "subtrees array<struct<hash:bigint,first:int,end:int>>"
 )
 SUBTREE = pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("end", pa.int32())])
 
 
 def parsed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Per page: page_id, url, a hash of the html, its blocks, which are main text, and its subtrees."""
+    """Per page: page_id, url, hashes of the html and the main text, its blocks, which are main text, and its subtrees."""
     rows = pages.select(
         F.col(page_id).alias("page_id"), F.col(url).alias("url"),
         F.coalesce(F.col(html), F.lit("")).alias("html"), F.xxhash64(html).alias("page"),
@@ -185,21 +203,22 @@ def parsed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
 
     def run(batches):
         for batch in batches:
-            main, blocks, subtrees = [], [], []
+            core, main, blocks, subtrees = [], [], [], []
             for text in batch.column(2):
                 page = Page()
                 page.feed(text.as_py())
                 page.done()
+                core.append(page.core())
                 blocks.append([b for b, _ in page.blocks])
                 main.append([level == page.best for _, level in page.blocks])
                 subtrees.append([dict(zip(("hash", "first", "end"), s, strict=True)) for s in page.subtrees])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), batch.column(3),
+                    batch.column(0), batch.column(1), batch.column(3), pa.array(core, pa.int64()),
                     pa.array(main, pa.list_(pa.bool_())), pa.array(blocks, pa.list_(pa.string())),
                     pa.array(subtrees, pa.list_(SUBTREE)),
                 ],
-                ["page_id", "url", "page", "main", "blocks", "subtrees"],
+                ["page_id", "url", "page", "core", "main", "blocks", "subtrees"],
             )
 
     return rows.mapInArrow(run, PARSED.format(id=kind))
@@ -212,11 +231,11 @@ def host_of(url):
 
 def templates(rows: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """host, hash, n: subtrees that recur on the pages of a host."""
-    # A different page is a hash of its html; each counts once for a subtree.
-    of_page = rows.where("host is not null").select("host", "page", F.explode("hashes").alias("hash")).distinct()
+    # A different page is one with another main text; each counts once for a subtree.
+    of_page = rows.where("host is not null").select("host", "core", F.explode("hashes").alias("hash")).distinct()
     counts = of_page.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     sizes = (
-        rows.where("host is not null").select("host", "page").distinct()
+        rows.where("host is not null").select("host", "core").distinct()
         .groupBy("host").agg(F.count("*").alias("pages"))
     )
     return counts.join(sizes, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash", "n")
