@@ -25,21 +25,22 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; texts without words stay.
+    """One document of each group of near copies, the one with the smallest id; texts without words stay.
 
-    A row that is there twice, id and all, stays once.
+    Rows of one id whose texts are no copies each count for their own group. A row that is
+    there twice, id and all, stays once; without words it stays as often as it is there,
+    if it has no id.
     """
-    groups = setjoin.jaccard_components(docs)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("first_id")).distinct()
-    named = docs.join(first, F.col("doc_id") == F.col("first_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    first = setjoin.first_rows(docs).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "bare")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    own = F.when(F.col("bare") & F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    chosen = docs.join(first, same).withColumn("_own", own)
+    return chosen.dropDuplicates(["doc_id", "_hash", "_own"]).select(docs.columns)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item stands."""
-    found = decontaminate.report(docs, read(spark, sf_dir, "benchmark"))
-    hit = found.where("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    return decontaminate.without_items(docs, read(spark, sf_dir, "benchmark"))
 
 
 def private_data_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -154,6 +154,28 @@ def decontaminate(
 
     ``n_hit`` counts the words inside any occurrence of a window of any item.
     """
+    found, prints, named = _found(docs, items, doc_id, text, item_id, item_text)
+    return _resolve(found, prints, named).select(F.col("row.id").alias("doc_id"), "n_words", "n_hit", "items")
+
+
+def without_items(docs: DataFrame, items: DataFrame, **names: str) -> DataFrame:
+    """The rows of ``docs`` in which no window of an item stands; each row is judged by its own text."""
+    doc_id, text = names.get("doc_id", "doc_id"), names.get("text", "text")
+    resolved = _resolve(*_found(docs, items, **names)).where("n_hit > 0")
+    hit = resolved.select(F.col("row.id").alias("_hit_id"), F.col("row.hash").alias("_hit_hash")).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col("_hit_id")) & (F.xxhash64(text) == F.col("_hit_hash"))
+    return docs.join(hit, same, "left_anti")
+
+
+def _found(
+    docs: DataFrame,
+    items: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fingerprints of documents and of items, and the items' ids."""
     spark = docs.sparkSession
     # Items with the same words are one text of several ids.
     texts = items.select(
@@ -169,7 +191,7 @@ def decontaminate(
     row = F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"))
     source = docs.select(row.alias("row"), F.col(text).alias("text"))
     found = staged(document_fingerprints(source, bits, sorted(lengths)), "doc-prints")
-    return _resolve(found, prints, named)
+    return found, prints, named
 
 
 def _resolve(found: DataFrame, prints: DataFrame, named: DataFrame) -> DataFrame:
@@ -212,7 +234,7 @@ def _resolve(found: DataFrame, prints: DataFrame, named: DataFrame) -> DataFrame
         .join(hit, "row", "left")
         .join(lists, "row", "left")
         .select(
-            F.col("row.id").alias("doc_id"),
+            "row",
             "n_words",
             F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
             F.coalesce("items", F.array().cast("array<string>")).alias("items"),

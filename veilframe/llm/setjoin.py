@@ -523,14 +523,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def jaccard_links(docs: DataFrame, k: int = WORDS, doc_id: str = "doc_id", text: str = "text"):
-    """(profiles, links): (id, n, key) per document, and enough links (q, d) between classes.
+    """(profiles, links): (id, n, key, hash) per document, and enough links (q, d) between classes.
 
     The links connect just those classes that all links together connect.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
     passed = staged(profiles(source, k), "setjoin-profiles")
-    profile = passed.where("n is not null").select("id", "n", "key")
+    profile = passed.where("n is not null").select("id", "n", "key", "hash")
     classes = passed.where("key is not null").select("key", "n", "sig").dropDuplicates(["key"])
 
     top = (
@@ -620,3 +620,17 @@ def jaccard_components(
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "id").alias("component_id"),
     )
+
+
+def first_rows(docs: DataFrame, k: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, hash, bare: of each component the row with the smallest id, or else one without; all rows without words.
+
+    ``hash`` is xxhash64 of the text; with the id it tells rows apart where ids repeat or are null.
+    """
+    profile, links = jaccard_links(docs, k, doc_id, text)
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+    rows = profile.where("key is not null").groupBy("key").agg(F.min(row).alias("row"))
+    comps = rows.join(components(links), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    first = comps.groupBy("comp").agg(F.min("row").alias("row")).select("row.id", "row.hash", F.lit(False).alias("bare"))
+    bare = profile.where("key is null").select("id", "hash", F.lit(True).alias("bare")).distinct()
+    return first.unionByName(bare).withColumnRenamed("id", "doc_id")
