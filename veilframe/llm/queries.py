@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import ann, chat, decontaminate, html, licenses, mixing, pii, quality, setjoin, warc
+from veilframe.llm import (
+    ann,
+    chat,
+    decontaminate,
+    fingerprints,
+    html,
+    licenses,
+    mixing,
+    pii,
+    quality,
+    setjoin,
+    warc,
+)
 from veilframe.llm.common import read
 
 
@@ -82,6 +94,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints_of_edits(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
@@ -93,5 +109,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_neighbours": op9_neighbours,
     "op10_chat": op10_chat,
+    "op13_fingerprints": op13_fingerprints,
 }
 ORACLE: dict[str, str] = {}
