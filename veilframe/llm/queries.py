@@ -15,10 +15,13 @@ from veilframe.llm import (
     mixing,
     pii,
     quality,
+    repair,
     setjoin,
+    spelling,
     warc,
 )
 from veilframe.llm.common import read
+from veilframe.llm.oracle import ORACLE  # noqa: F401
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +97,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(read(spark, sf_dir, "documents"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(read(spark, sf_dir, "conversations"))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints_of_edits(read(spark, sf_dir, "documents"))
 
@@ -109,6 +120,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_neighbours": op9_neighbours,
     "op10_chat": op10_chat,
+    "op11_spelling": op11_spelling,
+    "op12_repair": op12_repair,
     "op13_fingerprints": op13_fingerprints,
 }
-ORACLE: dict[str, str] = {}
