@@ -28,6 +28,33 @@ def test_names_as_long_as_the_list_has_them(spark):
     assert [(s.st, s.ln) for s in found[0].spans] in ([(4, 19)], [(5, 19)])
 
 
+def test_names_and_patterns_over_the_cuts_of_a_long_text(spark):
+    """What a long text gives does not depend on where it is cut."""
+    listed = spark.createDataFrame([("johnson & johnson", "RU_ORGANIZATION", 0.9)], "form string, ty string, score double")
+    said = "Johnson & Johnson, PAN ABCDE1234F; mail a@b.example"
+    short = [(i, f"{said} ") for i in range(1)]
+    # The first cut is the first mark after 8,192 characters: here it lies in the name, at each of its places.
+    long = [(10 + n, "x" * (8192 - n) + f" {said}! " + "y " * 9_000 + said) for n in range(12)]
+    texts = spark.createDataFrame(short + long, "doc_seq long, text string")
+    done = jobs.mask(texts, lang="en", gazetteer=listed).masked
+    for r in done.select("doc_seq", "text", "masked_text", "spans_found").collect():
+        copies = r.text.count(said)
+        assert r.spans_found == 3 * copies
+        assert r.masked_text == r.text.replace(
+            said, "<RU_ORGANIZATION_1>, PAN <PAN_IN_1>; mail <EMAIL_ADDRESS_1>"
+        )
+
+
+def test_the_fold_replaces_nothing_inside_an_original(spark):
+    """Small and large maps, folded or joined, give the same."""
+    rows = [(f"<A_{i}>", f"see <A_{i + 1}>") for i in range(12)]
+    tokens = spark.createDataFrame([("s", t, o) for t, o in rows], "s string, token string, original string")
+    texts = spark.createDataFrame([(1, "s", "x <A_1> <A_11><A_0> y")], "k int, s string, text string")
+    for limit in (0, 256):
+        back = restoring.restore_folding(texts, "text", tokens, ["s"], ["k"], "back", limit)
+        assert back.first().back == "x see <A_2> see <A_12>see <A_1> y"
+
+
 def test_numbers_go_on_after_the_highest(spark):
     existing = spark.createDataFrame(
         [("g", "a", "PERSON", "<PERSON_5>", "A")], "group_id string, norm string, ty string, token string, original string"

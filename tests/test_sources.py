@@ -64,12 +64,75 @@ def test_cells_of_formulas_and_cells_without_value():
     assert found == [("s.xlsx", "xlsx", "joined")]
 
 
-def test_a_row_beyond_the_width_is_refused(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("1,2,3\n4\n")
-    path = str(tmp_path)
-    assert sorted(r.cells for r in readers.read_cells(spark, path, width=3).collect()) == [["1", "2", "3"], ["4"]]
-    with pytest.raises(Exception, match="more than 2 cells"):
-        readers.read_cells(spark, path, width=2).collect()
+def test_endings_in_any_letter_case(spark, tmp_path):
+    (tmp_path / "A.TXT").write_text("a")
+    (tmp_path / "C.Csv").write_text("1,2\n")
+    (tmp_path / "D.DOCX").write_bytes(docx())
+    (tmp_path / "E.EXE").write_text("?")
+    rows, unread = readers.read_documents(spark, str(tmp_path))
+    assert {r.member: r.leaves for r in rows.collect()} == {
+        "A.TXT": ["a"], "C.Csv": ["1", "2"], "D.DOCX": ["Тел +7 999 123-45-67", "head"]
+    }
+    assert [(r.member, r.reason) for r in unread.collect()] == [("E.EXE", "unknown")]
+
+
+SECRET = "Клиент, тел +7 999 123-45-67"
+FILES = {
+    "a.txt": f"{SECRET}\nmore\n",
+    "b.json": json.dumps([{"n": SECRET, "x": 1}, "ok"], ensure_ascii=False),
+    "d.html": f"<html><p title='{SECRET}'>{SECRET} &lt;PHONE_RU_1&gt; and &#060;PHONE_RU_1&gt;</p>\n<b>&amp;</b></html>",
+    "e.csv": f'имя,тел,\nАнна,"{SECRET}",\n"say ""hi""",,,\n',
+    "sub dir/e.csv": f'"{SECRET}"\n',
+    "f+g%20.TSV": f"k\t{SECRET}\t\n",
+}
+
+
+def test_what_was_masked_comes_back(spark, tmp_path):
+    """Files of every format, and as members of an archive, through masked files and back."""
+    for name, content in FILES.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text(content)
+    inner = packed(**{"deep.csv": FILES["e.csv"]})
+    members = {name.replace("sub dir/", "sub/"): content for name, content in FILES.items()}
+    (tmp_path / "in" / "z.zip").write_bytes(packed(**members, **{"in.zip": inner}))
+    done = files.mask_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), group_id="p", lang="ru")
+    files.write_files(done.files, str(tmp_path / "masked"))
+    # Only the attribute keeps its number: HTML is masked between its tags.
+    for part in (tmp_path / "masked").rglob("part-*"):
+        text = part.read_text().replace(f"title='{SECRET}'", "")
+        assert "+7 999" not in text and "PHONE_RU_1" in text
+    back = files.restore_files(spark, str(tmp_path / "masked"), str(tmp_path / "back"), done.result.token_map, "p")
+    assert back.unread.count() == 0
+    got = {}
+    for r in sorted(back.files.collect(), key=lambda r: (r.path, r.position)):
+        # One folder per source file tells those of one name apart.
+        got.setdefault((r.filename, r.path.split("source=")[1][:16]), []).append(r.content.removesuffix("\n"))
+    got = sorted((name, "\n".join(rows)) for (name, _), rows in got.items())
+    want = [(name.removeprefix("sub dir/"), content) for name, content in FILES.items()]
+    want += [(f"z.zip/{name}", content) for name, content in members.items()]
+    want += [("z.zip/in.zip/deep.csv", FILES["e.csv"])]
+    assert got == sorted((name, content.removesuffix("\n")) for name, content in want)
+
+
+def test_files_come_back_by_identifiers(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(f'1,"{SECRET}"\n')
+    out = str(tmp_path / "out")
+    done = files.mask_files(spark, str(tmp_path / "in"), out, lang="ru", sessions=f"{out}/sessions", secret="s")
+    files.write_files(done.files, f"{out}/masked")
+    table = readers_of_sessions(spark, f"{out}/sessions")
+    session = table.first()
+    assert (session.filename, session.entities_count) == ("a.csv", 1)
+    back = files.restore_files_by_ids(spark, f"{out}/masked", f"{out}/back", session.session_id, table, "s")
+    assert [r.units for r in back.files.collect()] == [["1", SECRET]]
+    with pytest.raises(LookupError):
+        files.restore_files_by_ids(spark, f"{out}/masked", f"{out}/back", "unknown", table, "s")
+
+
+def readers_of_sessions(spark, path):
+    from veilframe.sources.sessions import read_sessions
+
+    return read_sessions(spark, path)
 
 
 def test_folder_round_trip(spark, tmp_path):

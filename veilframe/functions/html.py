@@ -27,8 +27,31 @@ def reassemble(parts: Column, tag_list: Column) -> Column:
     )
 
 
+# A token as it is and as markup; a text that has the latter itself is told apart by a
+# number for the sign, with one more zero in front each time it is hidden.
+_NAME = "([A-Z][A-Z_]*_[0-9]+)"
+_LESS = f"&#(0*)60;(?={_NAME}&gt;)"
+
+
+def hidden(part: Column) -> Column:
+    """A masked text part as markup: its tokens would be read as tags otherwise."""
+    own = F.regexp_replace(F.regexp_replace(part, _LESS, "&#0$160;"), f"&lt;(?={_NAME}&gt;)", "&#60;")
+    return F.regexp_replace(own, f"<{_NAME}>", "&lt;$1&gt;")
+
+
+def shown(part: Column) -> Column:
+    """The masked text part that hidden() wrote."""
+    tokens = F.regexp_replace(part, f"&lt;{_NAME}&gt;", "<$1>")
+    return F.regexp_replace(F.regexp_replace(tokens, f"&#60;(?={_NAME}&gt;)", "&lt;"), f"&#0(0*)60;(?={_NAME}&gt;)", "&#$160;")
+
+
 def html_changed(html: Column, changes: Column) -> Column:
-    new = F.transform(
-        text_parts(html), lambda p: F.coalesce(F.element_at(changes, p), p)
-    )
+    """Markup with changed text parts, and tokens in them as markup."""
+    new = F.transform(text_parts(html), lambda p: hidden(F.coalesce(F.element_at(changes, p), p)))
+    return reassemble(new, tags(html))
+
+
+def html_restored(html: Column, changes: Column) -> Column:
+    """Masked markup with changed text parts, as they are in the original."""
+    new = F.transform(text_parts(html), lambda p: F.coalesce(F.element_at(changes, shown(p)), shown(p)))
     return reassemble(new, tags(html))

@@ -91,6 +91,22 @@ def parts(text: str) -> str:
     return let(text, "t", let(texts, "ts", with_base))
 
 
+def rejoined(parts: str, spans: str) -> str:
+    """``parts`` of a text, put together again where one of ``spans`` reaches over a cut.
+
+    The spans have the offsets of the text; each lies inside one part afterwards.
+    """
+    over = f"exists({spans}, x -> x.st < cs[i].base and x.st + x.ln > cs[i].base)"
+    begins = f"filter(sequence(0, size(cs) - 1), i -> i = 0 or not {over})"
+    until = "if(j + 1 < size(bs), bs[j + 1], size(cs))"
+    end = f"(cs[{until} - 1].base + cs[{until} - 1].len)"
+    whole = (
+        f"transform(bs, (i, j) -> named_struct('base', cs[i].base, 'len', {end} - cs[i].base, "
+        f"'t', array_join(transform(slice(cs, i + 1, {until} - i), c -> c.t), '')))"
+    )
+    return let(parts, "cs", f"if(size(cs) < 2, cs, {let(begins, 'bs', f'if(size(bs) = size(cs), cs, {whole})')})")
+
+
 def overlap(a: str, b: str) -> str:
     return f"greatest({a}.st, {b}.st) < least({a}.st + {a}.ln, {b}.st + {b}.ln)"
 

@@ -122,9 +122,10 @@ def with_parts(
     """Add ``parts``: the spans of both passes, an array of base, len, spans.
 
     Spans have st, ln, pass, ty, v, norm; their offsets count from the part's
-    base. ``extra`` names a column of spans for the second pass. The second pass
-    runs where the text has letters or the first one has put a token. Each step
-    is a column of its own, and none leaves the row.
+    base. ``extra`` names a column of spans for the second pass; a long text is not
+    cut where one of them stands. The second pass runs where the text has letters or
+    the first one has put a token. Each step is a column of its own, and none leaves
+    the row.
     """
     key = T.strip if case_sensitive else T.norm
     # A language known beforehand leaves out the patterns of all others.
@@ -146,6 +147,8 @@ def with_parts(
         )
     column = f"`{text}`"
     cut = f"if({column} is null or {T.is_blank(column)}, array(), {S.parts(column)})"
+    if extra is not None:
+        cut = S.rejoined(cut, f"coalesce({extra}, {S.NO_SPANS})")
     none = f"array_repeat({S.NO_SPANS}, size(_cut))"
     first = f"transform(_cut, c -> {_first_pass('c.t', '_lang', families)})"
     second = f"zip_with(_cut, _first, (c, f) -> {detect_second('c.t', 'f', names)})"

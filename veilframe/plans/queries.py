@@ -17,7 +17,7 @@ from veilframe.operators.masking import KEY
 from veilframe.plans import corpora as C
 from veilframe.plans import files, jobs, oracle
 from veilframe.shared import fresh_path, staged
-from veilframe.sources import leaves, readers, sessions, sinks
+from veilframe.sources import delimited, leaves, readers, sessions, sinks
 from veilframe.streaming import jobs as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1059,24 +1059,27 @@ def session_append(spark, sf):
 
 
 _TTL_NOW = "1998-06-01 12:00:00"
+# Sessions of ten days; those of the last hundred hours live.
+_HOURLY = (
+    "SELECT md5(cast(o_orderkey as string)) AS session_id, o_orderkey AS seq, "
+    f"TIMESTAMP '{_TTL_NOW}' - cast(o_orderkey % 240 as int) * INTERVAL '1' HOUR AS created_at FROM orders"
+)
 
 
-@query(
-    "sessions_expire",
-    f"SELECT session_id FROM ({C.SESSIONS}) WHERE created_at >= TIMESTAMP '{_TTL_NOW}' - INTERVAL 8784 HOURS",
-)
+@query("sessions_expire", f"SELECT session_id FROM ({_HOURLY}) WHERE created_at >= TIMESTAMP '{_TTL_NOW}' - INTERVAL 100 HOURS")
 def sessions_expire(spark, sf):
-    """Sessions older than a year are gone from the table."""
+    """Sessions older than their time to live are deleted from the table."""
     path = fresh_path(spark, "sessions")
-    rows = C.corpus(spark, sf, C.SESSIONS).select(
-        "session_id", "group_id", "user_token", "filename", F.lit(None).cast("binary").alias("entity_map_enc"),
-        F.lit(2).alias("entities_count"), "lang", "created_at",
-        F.to_date(F.trunc("created_at", "month")).alias("created_date"),
+    none = F.lit(None).cast("string")
+    rows = C.corpus(spark, sf, _HOURLY).select(
+        "session_id", none.alias("group_id"), F.lit("u").alias("user_token"), none.alias("filename"),
+        none.cast("binary").alias("entity_map_enc"), F.lit(0).alias("entities_count"), F.lit("ru").alias("lang"),
+        "created_at", F.to_date("created_at").alias("created_date"),
     )
     sessions.append_sessions(rows.repartition("created_date"), path)
     now = F.lit(_TTL_NOW).cast("timestamp")
-    table = sessions.read_sessions(spark, path)
-    return sessions.live(table, now, 8784).select("session_id")
+    sessions.expire(spark, path, now, 100)
+    return sessions.read_sessions(spark, path).select("session_id")
 
 
 @query(
@@ -1133,23 +1136,36 @@ def _cells(spark, sf) -> DataFrame:
     )
 
 
-def _delimited(spark, sf, sep: str) -> DataFrame:
-    path = _written(_cells(spark, sf), "cells", "csv", header="true", sep=sep)
-    schema = "k bigint, group_id string, name string, note string, segment string"
-    rows = spark.read.schema(schema).option("header", "true").option("sep", sep).csv(path)
-    masked, _ = jobs.mask_table(rows, "k", "group_id", lang="ru")
+_COLUMNS = ["k", "group_id", "name", "note", "segment"]
+
+
+def _delimited(spark, sf, kind: str) -> DataFrame:
+    """The cells written as one delimited file, read without a schema and masked."""
+    sep = readers.SEPARATORS[kind]
+    rows = _cells(spark, sf).select(
+        F.lit("cells").alias("path"), F.lit(f"cells.{kind}").alias("filename"), F.col("k").alias("position"),
+        delimited.line_of(F.array(*[F.col(c).cast("string") for c in _COLUMNS]), sep).alias("content"),
+    )
+    header = spark.range(1).selectExpr(
+        "'cells' as path", f"'cells.{kind}' as filename", "-1L as position", f"'{sep.join(_COLUMNS)}' as content"
+    )
+    path = fresh_path(spark, "cells")
+    sinks.write_files(rows.unionByName(header), path)
+    cells = readers.read_cells(spark, path, sep).where(F.col("cells")[0] != "k")
+    named = cells.select(*[F.col("cells")[i].alias(c) for i, c in enumerate(_COLUMNS)])
+    masked, _ = jobs.mask_table(named.withColumn("k", F.col("k").cast("bigint")), "k", "group_id", lang="ru")
     return masked.drop("group_id")
 
 
 @query("csv_cells_masked", _CELLS_SQL)
 def csv_cells(spark, sf):
     """Every cell of a CSV file, masked in one group per nation."""
-    return _delimited(spark, sf, ",")
+    return _delimited(spark, sf, "csv")
 
 
 @query("tsv_cells_masked", _CELLS_SQL)
 def tsv_cells(spark, sf):
-    return _delimited(spark, sf, "\t")
+    return _delimited(spark, sf, "tsv")
 
 
 @query(
@@ -1159,7 +1175,7 @@ def tsv_cells(spark, sf):
 def csv_rows_with_header(spark, sf):
     """A CSV file as rows of cells, the header row among them."""
     path = _written(_cells(spark, sf).select("k", "name"), "rows", "csv", header="true")
-    cells = readers.read_cells(spark, path, width=4)
+    cells = readers.read_cells(spark, path)
     rows = cells.select(F.col("cells")[0].alias("first"), F.col("cells")[1].alias("second"))
     # Every part file has a header of its own.
     header = (F.col("first") == "k") & (F.col("second") == "name")
@@ -1291,27 +1307,76 @@ def html_pages(spark, sf):
     return masked.select("page_id", html.html_changed(F.col("html"), F.col("changes")).alias("masked"))
 
 
+# What stands before, between and after the notes of a nation in a file of each kind.
+_AROUND = {
+    "txt": ("", "\n", ""),
+    "json": ('["', '", "', '"]'),
+    "xml": ("<r><p>", "</p><p>", "</p></r>"),
+    "html": ("<html><p>", "</p>\n<p>", "</p></html>"),
+}
+_XML_HEAD = r"^<\?xml[^>]*>\s*"
+
+
+def _nation_files(spark, sf) -> DataFrame:
+    """path, filename, position, content: a file of every kind for each nation."""
+    notes = C.table(spark, sf, "customer").select(
+        F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("name"),
+        F.col("c_custkey").alias("k"),
+        F.expr(C._CLIENT).alias("note"),
+    )
+    # A nation's notes are one file, which is one value.
+    whole = notes.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("k", "note")))["note"].alias("notes"))
+    rows = [
+        whole.select(
+            "name", F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("position"),
+            F.concat(F.lit(before), F.array_join("notes", between), F.lit(after)).alias("content"),
+        )
+        for kind, (before, between, after) in _AROUND.items()
+    ]
+    rows += [
+        notes.select(
+            "name", F.lit(kind).alias("kind"), F.col("k").alias("position"),
+            delimited.line_of(F.array(F.col("k").cast("string"), "note"), sep).alias("content"),
+        )
+        for kind, sep in readers.SEPARATORS.items()
+    ]
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    name = F.concat_ws(".", "name", "kind")
+    return every.select(name.alias("path"), name.alias("filename"), "position", "content")
+
+
 def _folder(spark, sf) -> str:
     """A folder with files of several kinds, written from the given tables."""
     path = fresh_path(spark, "folder")
-    texts = C.corpus(spark, sf, C.RU_CLIENTS)
-    texts.select("text").write.text(f"{path}/txt")
-    _cells(spark, sf).select("name", "note").write.option("header", "true").csv(f"{path}/csv")
-    _json_rows(spark, sf).select("doc.*").write.json(f"{path}/lines")
-    texts.select(F.col("text").alias("t")).write.format("csv").option("sep", "\t").save(f"{path}/other")
+    sinks.write_files(_nation_files(spark, sf), path)
     return path
 
 
-@query(
-    "whole_files",
-    "SELECT CAST(count(*) AS BIGINT) AS lines FROM customer",
-)
+def _nation_files_sql(source: str, markup: str = "note") -> str:
+    """filename, content of the same files; ``source`` has g, k and note, ``markup`` is a note in XML and HTML."""
+    parts = []
+    for kind, (before, between, after) in _AROUND.items():
+        note, sep = markup if kind in ("xml", "html") else "note", between.replace("\n", "' || chr(10) || '")
+        parts.append(
+            f"SELECT 'n' || g || '.{kind}' AS filename, '{before}' || string_agg({note}, '{sep}' ORDER BY k) || '{after}' "
+            f"AS content FROM notes GROUP BY g"
+        )
+    parts.append("SELECT 'n' || g || '.csv', k || ',\"' || note || '\"' FROM notes")
+    parts.append("SELECT 'n' || g || '.tsv', k || chr(9) || note FROM notes")
+    return f"WITH notes AS MATERIALIZED ({source}) " + " UNION ALL ".join(parts)
+
+
+_NOTES = f"SELECT c_nationkey AS g, c_custkey AS k, {C._CLIENT} AS note FROM customer"
+
+
+@query("whole_files", "SELECT 'n' || c_nationkey || '.txt' AS filename, " + C._CLIENT + " AS line FROM customer")
 def whole_files(spark, sf):
-    """Text files read whole: all lines are there."""
-    path = _folder(spark, sf)
-    files_read = readers.read_whole(spark, path, "text")
-    lines = files_read.select(F.regexp_count("content", F.lit("\n")).alias("n"))
-    return lines.agg(F.sum("n").cast("bigint").alias("lines"))
+    """Text files read whole, line by line."""
+    found = readers.read_whole(spark, _folder(spark, sf), "text")
+    lines = F.split(F.regexp_replace("content", r"\n\z", ""), "\n")
+    return found.select(readers.name_of(F.col("path")).alias("filename"), F.explode(lines).alias("line"))
 
 
 @query(
@@ -1345,7 +1410,12 @@ def masked_output(spark, sf):
     return spark.read.schema(schema).parquet(path)
 
 
-@query("container_units")
+@query(
+    "container_units",
+    "SELECT '/in/doc' || doc_id || '.zip' AS path, 'doc' || doc_id || '.zip/' || m.member AS member, "
+    "CAST(m.n AS INT) AS unit_no, m.kind, CASE WHEN m.kind = 'txt' THEN text ELSE m.reason END AS text FROM documents, "
+    "(VALUES (0, 'inner/a.txt', 'txt', ''), (1, 'b.bin', 'error', 'format bin is not supported')) m(n, member, kind, reason)",
+)
 def container_units(spark, sf):
     """Text units out of archives that were made from the documents."""
     docs = C.table(spark, sf, "documents").select(
@@ -1355,6 +1425,70 @@ def container_units(spark, sf):
     return readers.text_units(packed)
 
 
+_MEMBERS = {
+    "in/c.csv": "concat('k,note\n', cast(k as string), ',\"', note, '\"\n')",
+    "in/t.tsv": "concat(cast(k as string), '\t', note, '\t\n')",
+    "j.json": "concat('{\"n\": [\"', note, '\", 1]}')",
+    "x.xml": "concat('<r a=\"', note, '\"><b>', cast(k as string), '</b></r>')",
+    "in/h.html": "concat('<p>', note, '</p>')",
+}
+_MEMBER_STRINGS = {
+    "in/c.csv": (["'k'", "'note'"], ["k", "m"]),
+    "in/t.tsv": (["k", "m", "''"],),
+    "j.json": (["m"],),
+    "x.xml": (["m", "k"],),
+    "in/h.html": (["''", "m", "''"],),
+}
+
+
+@query(
+    "container_members_masked",
+    "WITH m AS (SELECT doc_seq, regexp_replace(masked_text, '(<[A-Z_]+)_[0-9]+>', '\\1>', 'g') AS m, "
+    f"CAST(doc_seq AS VARCHAR) AS k FROM ({oracle.masked(C.RU_CLIENTS, oracle.RU_TYPES)})) "
+    + " UNION ALL ".join(
+        f"SELECT doc_seq AS k, '{name}' AS member, CAST({i} AS BIGINT) AS position, "
+        f"array_to_string([{', '.join(row)}], '|') AS strings FROM m"
+        for name, rows in _MEMBER_STRINGS.items()
+        for i, row in enumerate(rows)
+    ),
+)
+def container_members_masked(spark, sf):
+    """Members of archives masked by their own formats: cells, leaves, attributes, text parts."""
+    notes = C.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.expr(C._CLIENT).alias("note"))
+    members = F.create_map(*[x for name, sql in _MEMBERS.items() for x in (F.lit(name), F.expr(sql))])
+    packed = notes.select(F.concat(F.lit("/in/"), "k", F.lit(".zip")).alias("path"), members.alias("members"))
+    packed = packed.mapInPandas(_zipped_members, "path string, content binary")
+    rows, _ = readers.read_members(packed)
+    rows = rows.withColumn("k", F.regexp_extract("path", r"(\d+)\.zip$", 1).cast("bigint"))
+    # Rows of an archive in any order: the numbers of tokens are left out below.
+    rows = staged(rows.withColumn("seq", F.monotonically_increasing_id()), "rows")
+    masked, _ = jobs.mask_rows(rows.withColumn("g", F.lit("all")), F.col("leaves"), "seq", "g", lang="ru")
+    done = F.transform("leaves", lambda x: F.coalesce(F.element_at("changes", x), x))
+    return masked.select(
+        "k",
+        F.regexp_replace("member", r"^[^/]*/", "").alias("member"),
+        "position",
+        F.regexp_replace(F.array_join(done, "|"), "(<[A-Z_]+)_[0-9]+>", "$1>").alias("strings"),
+    )
+
+
+def _zipped_members(batches):
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    for batch in batches:
+        contents = []
+        for members in batch["members"]:
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+                for name, text in dict(members).items():
+                    archive.writestr(name, text)
+            contents.append(buffer.getvalue())
+        yield pd.DataFrame({"path": batch["path"], "content": contents})
+
+
 def _zipped(batches):
     import io
     import zipfile
@@ -1375,34 +1509,36 @@ def _zipped(batches):
 # --- Jobs -------------------------------------------------------------------------------
 
 
-@query(
-    "files_masked_and_restored",
-    f"SELECT text AS line FROM ({C.RU_CLIENTS})",
-)
+@query("files_masked_and_restored", _nation_files_sql(_NOTES))
 def files_masked_and_restored(spark, sf):
-    """A folder masked into an output folder and restored from there."""
-    source, out, back = (fresh_path(spark, x) for x in ("in", "out", "back"))
-    C.corpus(spark, sf, C.RU_CLIENTS).select("text").write.text(source)
+    """Files of every kind masked, written as files, read again and restored."""
+    source, out, back = _folder(spark, sf), fresh_path(spark, "out"), fresh_path(spark, "back")
     done = files.mask_files(spark, source, f"{out}/masked", group_id="project", mode="tags", lang="ru")
-    # The masked files as files again.
-    done.files.select("content").write.option("lineSep", "\n").text(f"{out}/files")
+    sinks.write_files(done.files, f"{out}/files")
     result = files.restore_files(spark, f"{out}/files", back, done.result.token_map, "project")
-    lines = result.files.select(F.explode(F.split("content", "\n")).alias("line"))
-    return lines.where(F.length("line") > 0)
+    content = F.regexp_replace(F.regexp_replace("content", _XML_HEAD, ""), r"\n\z", "")
+    return result.files.select("filename", content.alias("content"))
+
+
+_MASKED_NOTES = (
+    "SELECT c_nationkey AS g, doc_seq AS k, regexp_replace(masked_text, '(<[A-Z_]+)_[0-9]+>', '\\1>', 'g') AS note FROM ("
+    + oracle.masked(f"SELECT 'p' AS group_id, doc_seq, unit_no, text FROM ({C.RU_CLIENTS})", oracle.RU_TYPES)
+    + ") JOIN customer ON c_custkey = doc_seq"
+)
 
 
 @query(
     "folder_masked",
-    "SELECT 'text' AS kind, true AS any_rows UNION ALL SELECT 'csv', true",
+    "SELECT 'safe_' || filename AS filename, content FROM ("
+    + _nation_files_sql(_MASKED_NOTES, "replace(replace(note, '<', '&lt;'), '>', '&gt;')")
+    + ")",
 )
 def folder_masked(spark, sf):
-    """Which kinds of files a folder job has taken in; every line of them is masked."""
-    path = _folder(spark, sf)
-    done = files.mask_files(spark, path, fresh_path(spark, "out"), group_id="p", mode="tags", lang="ru")
-    clean = ~F.exists("units", lambda u: u.rlike("ИНН [0-9]{10}")) & F.exists("units", lambda u: u.rlike("<INN_RU_"))
-    rows = done.files.where(F.col("kind").isin("text", "csv"))
-    header = F.array_contains("units", F.lit("note"))
-    return rows.groupBy("kind").agg(F.bool_and(clean | header).alias("any_rows"))
+    """A folder with files of every kind, masked; the numbers of tokens are left out."""
+    done = files.mask_files(spark, _folder(spark, sf), fresh_path(spark, "out"), group_id="p", mode="tags", lang="ru")
+    unnumbered = F.regexp_replace("content", "((?:<|&lt;)[A-Z_]+)_[0-9]+(>|&gt;)", "$1$2")
+    content = F.regexp_replace(F.regexp_replace(unnumbered, _XML_HEAD, ""), r"\n\z", "")
+    return done.files.select("filename", content.alias("content"))
 
 
 _ONE_GROUP = f"SELECT 'batch' AS group_id, doc_seq, unit_no, text FROM ({C.RU_CLIENTS})"
@@ -1421,14 +1557,15 @@ def batch_under_one_group(spark, sf):
 
 @query(
     "project_over_two_runs",
-    f"SELECT doc_seq, text AS restored_text FROM ({C.RU_CLIENTS}) WHERE doc_seq % 2 <> 0",
+    f"SELECT doc_seq, text AS restored_text FROM ({C.RU_CLIENTS})",
 )
 def project_over_two_runs(spark, sf):
     """A project masks two batches with one token map, kept encrypted, and restores."""
     project = jobs.Project(spark, "project", fresh_path(spark, "project"), SECRET)
     texts = C.corpus(spark, sf, C.RU_CLIENTS).drop("group_id")
-    project.mask(texts.where("doc_seq % 2 = 0"), lang="ru")
-    masked = project.mask(texts.where("doc_seq % 2 <> 0"), lang="ru").drop("text")
+    first = project.mask(texts.where("doc_seq % 2 = 0"), lang="ru")
+    second = project.mask(texts.where("doc_seq % 2 <> 0"), lang="ru")
+    masked = first.unionByName(second).drop("text")
     back = project.restore(masked, "masked_text", ["doc_seq", "unit_no"])
     return back.select("doc_seq", "restored_text")
 

@@ -88,6 +88,8 @@ def _open_document(archive: zipfile.ZipFile) -> Iterator[str]:
 
 _READERS = {"docx": _word, "pptx": _slides, "pptm": _slides, "xlsx": _sheets}
 _READERS.update(dict.fromkeys(OPEN_DOCUMENT, _open_document))
+# Kinds whose text is taken out in units.
+OFFICE = tuple(_READERS)
 
 
 def _units(name: str, content: bytes) -> Iterator[tuple[str, str, str]]:

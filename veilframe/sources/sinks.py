@@ -9,8 +9,29 @@ from pyspark.sql import functions as F
 from veilframe.functions.crypto import key_of
 
 
-def write_masked(df: DataFrame, path: str) -> None:
-    df.write.mode("append").partitionBy("group_id").parquet(path)
+def write_masked(df: DataFrame, path: str, order: tuple[str, ...] = ("group_id", "doc_seq")) -> None:
+    """Append masked texts, sorted by group.
+
+    Rows are dealt out by ranges of ``order``, so a busy group fills several files and small
+    ones share one; a reader of one group is led to its files by their statistics.
+    """
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").parquet(path)
+
+
+def write_files(rows: DataFrame, path: str) -> None:
+    """Write ``content`` of the rows of each file as text, below a folder that names the file.
+
+    ``rows`` has path, filename, position and content. A file is one folder,
+    ``source=<digest of its path>/filename=<name>``, and a large one has several parts in
+    the order of its rows. Every row ends with a line feed.
+    """
+    source = F.substring(F.sha2("path", 256), 1, 16)
+    named = rows.withColumn("source", source).select("source", "filename", "position", "content")
+    order = ["source", "filename", "position"]
+    ranged = named.repartitionByRange(*order).sortWithinPartitions(*order)
+    # A content that ends with a line feed has the one that the writer would add.
+    text = F.regexp_replace("content", r"\n\z", "").alias("content")
+    ranged.select("source", "filename", text).write.mode("append").partitionBy("source", "filename").text(path)
 
 
 def append_audit(events: DataFrame, path: str) -> None:
