@@ -1,8 +1,10 @@
-"""Which strings contain which others, without comparing all pairs.
+"""Which strings contain which others, and where, without comparing all pairs.
 
-A needle can only lie inside a hay that has the needle's leading characters
-somewhere. Needles are keyed by those, hays by every piece of that length, and
-the pairs that meet are then checked in full.
+A needle lies only where all its q-grams are. The grams of the needles are counted in
+the texts, and each needle is keyed by its rarest one (its anchor); a needle with a gram that
+occurs nowhere is left out at once. Texts are then searched for anchors alone, and the few
+pairs that meet are checked in full. So needles that begin alike, such as the
+phone numbers of a group, do not meet every text of the group.
 """
 
 from __future__ import annotations
@@ -10,91 +12,106 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ANCHOR = 4
-# Characters of a text that are cut up together.
+GRAM = 4
+# Code points of a text that are cut up together.
 BLOCK = 256
+# At most this many grams are sent to every executor; more are joined by a shuffle.
+BROADCAST_GRAMS = 500_000
 
 
-def _pieces(hay: Column, length: Column) -> Column:
-    """Distinct pieces of ``hay`` of one length; none if it is shorter."""
-    last = F.length(hay) - length + 1
-    return F.when(
-        last >= 1,
-        F.array_distinct(
-            F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(hay, i, length))
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+def _grams(text: Column) -> Column:
+    """Places (from 0) and grams of a needle; a shorter one is its own gram."""
+    last = F.greatest(F.length(text) - GRAM, F.lit(0))
+    return F.transform(
+        F.sequence(F.lit(0), last),
+        lambda i: F.struct(i.alias("off"), F.substring(text, i + 1, F.lit(GRAM)).alias("gram")),
+    )
+
+
+def _spread(keys: DataFrame) -> DataFrame:
+    """A table of keys to join with: sent to every executor if its size allows."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS else keys
+
+
+def _lengths(needles: DataFrame) -> list[int]:
+    """Lengths of the grams that occur: at most GRAM numbers."""
+    found = needles.select(F.least(F.length("needle"), F.lit(GRAM)).alias("n")).distinct().collect()
+    return sorted(r["n"] for r in found)
+
+
+def _pieces(text: Column, lengths: list[int]) -> Column:
+    """Every piece of ``text`` of one of some lengths, and its place (from 0)."""
+
+    def of(n: int) -> Column:
+        last = F.length(text) - n
+        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(i.alias("at"), F.substring(text, i + 1, F.lit(n)).alias("gram")))
+
+    return F.concat(*[of(n) for n in lengths])
 
 
-def contained_in(
-    needles: DataFrame, hays: DataFrame, scope: list[str], anchor: int = ANCHOR
-) -> DataFrame:
-    """Pairs (scope, needle, hay) with ``needle`` inside ``hay``; both distinct.
+def anchored(needles: DataFrame, pieces: DataFrame) -> DataFrame:
+    """needles with ``off`` and ``gram``, the rarest gram in ``pieces`` (gram) and its place.
 
-    The piece lengths are those of the needles that occur, 1 to ``anchor``.
+    Of equally rare ones the first is taken. Needles that cannot occur are left out.
     """
-    keyed = needles.where(F.length("needle") > 0).withColumn(
-        "piece", F.substring("needle", 1, anchor)
-    )
-    lengths = range(1, anchor + 1)
-    by_length = F.flatten(F.array(*[_pieces(F.col("hay"), F.lit(i)) for i in lengths]))
-    cut = hays.select(*scope, "hay", F.explode(by_length).alias("piece"))
-    return (
-        cut.join(keyed, [*scope, "piece"])
-        .where(F.contains("hay", "needle"))
-        .select(*scope, "needle", "hay")
-    )
+    each = needles.select("*", F.inline(_grams(F.col("needle"))))
+    wanted = _spread(each.select("gram").distinct())
+    counts = pieces.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    rated = each.join(counts, "gram", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    rarest = rated.groupBy(*needles.columns).agg(F.min(F.struct("_n", "off", "gram")).alias("_a"))
+    return rarest.where("_a._n > 0").select(*needles.columns, "_a.off", "_a.gram")
+
+
+def contained_in(needles: DataFrame, hays: DataFrame, scope: list[str]) -> DataFrame:
+    """Pairs (scope, needle, hay) with ``needle`` inside ``hay``; both distinct, no needle empty."""
+    needles = needles.select(*scope, "needle").where(F.length("needle") > 0)
+    lengths = _lengths(needles)
+    if not lengths:
+        return hays.limit(0).select(*scope, F.lit("").alias("needle"), "hay")
+    pieces = hays.select(*scope, "hay", F.explode(F.array_distinct(_pieces(F.col("hay"), lengths)["gram"])).alias("gram"))
+    keyed = anchored(needles, pieces.select("gram")).drop("off")
+    near = pieces.join(_spread(keyed.select("gram").distinct()), "gram", "left_semi")
+    met = near.join(keyed, [*scope, "gram"])
+    return met.where(F.contains("hay", "needle")).select(*scope, "needle", "hay")
 
 
 def occurrences(texts: DataFrame, needles: DataFrame, scope: list[str]) -> DataFrame:
     """Every place where a needle of the scope stands in a text.
 
-    ``texts`` has scope, key columns and ``text``; ``needles`` has scope,
-    ``needle`` and whatever should travel with it. Adds ``st`` (from 0), ``ln``.
-    Long texts are cut into blocks first, and a place goes into the shuffle only
-    if some needle starts with the characters found there.
+    ``texts`` has scope, key columns and ``text``; ``needles`` has scope, ``needle`` and
+    whatever should travel with it. Adds ``st`` (from 0), ``ln``. Long texts are cut into
+    blocks with as much text around them as the longest needle needs; a place goes
+    into the shuffle only if an anchor stands there.
     """
-    keyed = needles.where(F.length("needle") > 0).withColumn(
-        "piece", F.substring("needle", 1, ANCHOR)
-    )
-    # One row: at most ANCHOR lengths, and the longest needle.
-    shape = keyed.agg(
-        F.array_sort(F.collect_set(F.least(F.length("needle"), F.lit(ANCHOR)))).alias("heads"),
-        F.coalesce(F.max(F.length("needle")), F.lit(1)).alias("longest"),
-    ).first()
-    heads, longest = shape["heads"] or [1], shape["longest"]
+    needles = needles.where(F.length("needle") > 0)
     keys = [c for c in texts.columns if c != "text"]
-    blocks = texts.where(F.length("text") > 0).select(
-        *keys,
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.floor((F.length("text") - 1) / BLOCK).cast("int")),
-                lambda k: F.struct(
-                    (k * BLOCK).alias("base"),
-                    F.substring(F.col("text"), k * BLOCK + 1, F.lit(BLOCK + longest - 1)).alias("part"),
-                ),
-            )
-        ).alias("b"),
-    ).select(*keys, "b.base", "b.part")
-    part, base = F.col("part"), F.col("base")
-    here = F.sequence(F.lit(1), F.least(F.length(part), F.lit(BLOCK)))
-
-    def places(n: int) -> Column:
-        return F.transform(
-            here,
-            lambda i: F.struct(
-                (base + i - 1).alias("st"),
-                F.substring(part, i, F.lit(n)).alias("piece"),
-                F.substring(part, i, F.lit(longest)).alias("ahead"),
-            ),
-        )
-
-    every = F.flatten(F.array(*[places(n) for n in heads]))
-    cut = blocks.select(*keys, F.explode(every).alias("p")).select(*keys, "p.*")
-    return (
-        cut.join(keyed.select("piece").distinct(), "piece", "left_semi")
-        .join(keyed, [*scope, "piece"])
-        .where(F.startswith("ahead", "needle"))
-        .withColumn("ln", F.length("needle"))
-        .drop("piece", "ahead")
+    lengths = _lengths(needles)
+    if not lengths:
+        none = texts.limit(0).select(*keys, F.lit(0).alias("st"), F.lit(0).alias("ln"))
+        return none.join(needles.limit(0), scope)
+    longest = needles.agg(F.max(F.length("needle"))).first()[0]
+    block = max(BLOCK, 2 * longest)
+
+    def part(k: Column) -> Column:
+        base = k * block
+        start = F.greatest(base - longest, F.lit(0))
+        around = F.substring(F.col("text"), start + 1, base - start + block + longest)
+        return F.struct(base.alias("base"), start.alias("start"), around.alias("around"))
+
+    last = F.floor((F.length("text") - 1) / block).cast("int")
+    parts = texts.where(F.length("text") > 0).select(
+        *keys, F.inline(F.transform(F.sequence(F.lit(0), last), part))
+    )
+    # Grams that begin in the block itself; what stands around it belongs to its neighbours.
+    own = F.substring(F.col("around"), F.col("base") - F.col("start") + 1, F.lit(block + GRAM - 1))
+    inside = F.filter(_pieces(own, lengths), lambda p: p["at"] < block)
+    pieces = parts.select(*keys, "base", "start", "around", F.inline(inside))
+    keyed = anchored(needles, pieces.select("gram"))
+    near = pieces.join(_spread(keyed.select("gram").distinct()), "gram", "left_semi")
+    met = near.join(keyed, [*scope, "gram"]).withColumns(
+        {"st": F.col("base") + F.col("at") - F.col("off"), "ln": F.length("needle")}
     )
+    stands = F.substring(F.col("around"), F.col("st") - F.col("start") + 1, F.col("ln")) == F.col("needle")
+    found = met.where((F.col("st") >= 0) & stands)
+    return found.drop("base", "start", "around", "at", "off", "gram")
