@@ -38,7 +38,7 @@ def test_query_against_plain_python(spark):
 
 
 def split(p: str) -> list[str]:
-    return [p[i : i + 8] for i in range(0, len(p), 8)]
+    return [p[i : i + 4] for i in range(0, len(p), 4)]
 
 
 def test_collisions_follow_the_weights(spark):
@@ -46,7 +46,7 @@ def test_collisions_follow_the_weights(spark):
     a, b = {1: 1.5, 2: 3.0, 3: 0.25}, {1: 3.0, 2: 1.0, 4: 0.25, 3: 0.25}
     rows = [(trial, side, 10 * trial + t, w) for trial in range(200) for side, bag in (("a", a), ("b", b)) for t, w in bag.items()]
     terms = spark.createDataFrame(rows, "trial int, side string, term long, weight double")
-    found = fingerprints.weighted_samples(terms, ["trial", "side"]).groupBy("trial").pivot("side", ["a", "b"]).agg(F.first("samples"))
+    found = fingerprints.weighted_samples(terms, ["trial", "side"]).groupBy("trial").pivot("side", ["a", "b"]).agg(F.first("fingerprint"))
     share = found.select(F.avg(fingerprints.likeness(F.col("a"), F.col("b")))).first()[0]
     assert abs(share - 2.75 / 6.5) < 0.02
 

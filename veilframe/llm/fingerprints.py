@@ -36,42 +36,82 @@ def _score(term: Column, log_weight: Column, k: int) -> Column:
     return c * F.exp(r * (b - F.floor(log_weight / r + b) - 1))
 
 
-def weighted_samples(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """keys and ``samples`` (array of ints) from rows of keys, ``term`` (long) and ``weight``.
+def least_scores(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
+    """keys and ``scores`` (array of doubles) from rows of keys, ``term`` (long) and ``weight``.
 
     Terms of one key must differ. A null term, or a weight that is null or not above zero,
-    counts for nothing; a key with nothing else gets an empty array.
+    counts for nothing; a key with nothing else has nulls. Scores of a key whose terms come
+    in several parts are the least ones of the parts.
     """
     weight = F.when(F.col("term").isNotNull() & (F.col("weight") > 0), F.log(F.col("weight").cast("double")))
     least = [F.min(_score(F.col("term"), F.col("_log"), k)).alias(f"_{k}") for k in range(samples)]
     best = terms.select(*keys, "term", weight.alias("_log")).groupBy(*keys).agg(*least)
-    each = F.array(*[F.shiftright(F.xxhash64(f"_{k}"), 32).cast("int") for k in range(samples)])
-    none = F.array().cast("array<int>")
-    return best.select(*keys, F.when(F.col("_0").isNull(), none).otherwise(each).alias("samples"))
+    return best.select(*keys, F.array(*[F.col(f"_{k}") for k in range(samples)]).alias("scores"))
+
+
+def fingerprint(scores: Column) -> Column:
+    """Sixteen bits of hash for each score, in two bytes; empty where there was no term."""
+    digits = F.transform(scores, lambda x: F.lpad(F.hex(F.pmod(F.xxhash64(x), F.lit(1 << 16))), 4, "0"))
+    return F.when(scores[0].isNull(), F.unhex(F.lit(""))).otherwise(F.unhex(F.array_join(digits, "")))
+
 
+def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
+    """Share of equal samples; two texts without words are alike, one without is like no other."""
+    pairs = F.sequence(F.lit(1), F.lit(2 * samples - 1), F.lit(2))
+    same = lambda n, i: n + (F.substring(a, i, F.lit(2)) == F.substring(b, i, F.lit(2))).cast("int")
+    equal = F.aggregate(pairs, F.lit(0), same)
+    empty = F.unhex(F.lit(""))
+    return F.when((a == empty) | (b == empty), (a == b).cast("double")).otherwise(equal / samples)
+
+
+def weighted_samples(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
+    """keys and ``fingerprint`` (binary) of weighted terms, as least_scores() takes them."""
+    best = least_scores(terms, keys, samples)
+    return best.select(*keys, fingerprint(F.col("scores")).alias("fingerprint"))
 
-def word_terms(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, ``term`` and ``weight``: the words of each text and how often they occur.
 
-    A text without words gives one row with a null term.
+def _word_weights(texts: DataFrame, keys: list[str], variants: int) -> DataFrame:
+    """keys, ``term`` and how often it occurs in each variant: ``_w0``, ``_w1`` and so on.
+
+    texts has keys, ``_which`` (the number of the variant) and ``_text``. Words are runs of
+    characters other than white space, in lower case. Each text has at least one row; its
+    term is null if it has no word.
     """
-    words = texts.select(*keys, F.explode(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+")).alias("_word"))
+    words = texts.select(*keys, "_which", F.explode(F.split(F.lower("_text"), "[\\x20\\x09-\\x0D]+")).alias("_word"))
     term = F.when(F.col("_word") != "", F.xxhash64("_word")).alias("term")
-    return words.select(*keys, term).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("weight"))
+    counts = [F.sum((F.col("_which") == i).cast("int")).alias(f"_w{i}") for i in range(variants)]
+    return words.select(*keys, "_which", term).groupBy(*keys, "term").agg(*counts)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of equal samples; two texts without words are alike, one without is like no other."""
-    equal = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    both = (F.size(a) == 0) & (F.size(b) == 0)
-    either = (F.size(a) == 0) | (F.size(b) == 0)
-    return F.when(both, 1.0).when(either, 0.0).otherwise(equal / F.size(a))
+def variant_samples(texts: DataFrame, keys: list[str], variants: int, samples: int = SAMPLES) -> DataFrame:
+    """keys and a fingerprint for each variant of a text (``_print0`` ...), null where there is none.
+
+    A term that weighs the same in several variants is scored once for all of them.
+    """
+    weights = [F.col(f"_w{i}") for i in range(variants)]
 
+    def share(i: int) -> Column:
+        """The variants from i on where the term weighs as in i, as bits; null if an earlier one did."""
+        seen = F.lit(False)
+        for w in weights[:i]:
+            seen = seen | (w == weights[i])
+        bits = sum((F.when(w == weights[i], 1 << j).otherwise(0) for j, w in enumerate(weights[i:], i)), F.lit(0))
+        return F.struct(F.when((weights[i] > 0) & ~seen, bits).alias("_share"), weights[i].alias("weight"))
 
-def as_text(samples: Column) -> Column:
-    """Eight hex digits for each sample; empty for a text without words."""
-    low = lambda x: x.cast("long").bitwiseAND(F.lit((1 << 32) - 1)) + (1 << 32)
-    return F.lower(F.array_join(F.transform(samples, lambda x: F.substring(F.hex(low(x)), 2, 8)), ""))
+    shares = F.filter(F.array(*[share(i) for i in range(variants)]), lambda x: x["_share"].isNotNull())
+    terms = _word_weights(texts, keys, variants).select(*keys, "term", F.inline(shares))
+    parts = least_scores(terms, [*keys, "_share"], samples)
+    # At most one part for each set of variants.
+    whole = parts.groupBy(*keys).agg(F.collect_list(F.struct("_share", "scores")).alias("_parts"))
+
+    def of(i: int) -> Column:
+        own = F.filter("_parts", lambda p: p["_share"].bitwiseAND(1 << i) != 0)
+        both = lambda x, y: F.zip_with(x, y["scores"], lambda u, v: F.least(u, v))
+        rest = F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0)))
+        found = F.aggregate(rest, F.try_element_at(own, F.lit(1))["scores"], both)
+        return F.when(F.size(own) > 0, fingerprint(found))
+
+    return whole.select(*keys, *[of(i).alias(f"_print{i}") for i in range(variants)])
 
 
 # A row is known by hashes of its id and its text: never null, and equal rows share them.
@@ -79,7 +119,7 @@ OWN = ["_doc", "_hash"]
 
 
 def in_a_ring(rows: DataFrame) -> DataFrame:
-    """_doc, _hash, _half, _copies and the key (_next_doc, _next_hash) of the document that follows.
+    """_id, _doc, _hash, _half, _copies and the key (_next_doc, _next_hash) of the document that follows.
 
     Order: descending id, no id last; different texts of one id by hash; the first follows
     the last. Keys are ranged over the cluster, the rows inside a range are put in order
@@ -102,7 +142,7 @@ def in_a_ring(rows: DataFrame) -> DataFrame:
     after = F.coalesce(F.lead("_head").over(ahead), F.first("_head").over(whole))
     following = F.coalesce("_next", "_after")
     return chained.join(heads.select("_range", after.alias("_after")), "_range").select(
-        *OWN, "_half", "_copies", following["_doc"].alias("_next_doc"), following["_hash"].alias("_next_hash")
+        "_id", *OWN, "_half", "_copies", following["_doc"].alias("_next_doc"), following["_hash"].alias("_next_hash")
     )
 
 
@@ -124,7 +164,7 @@ def fingerprints_of_edits(docs: DataFrame, key: str = "doc_id", text: str = "tex
     )
     half = F.expr("cast(floor(length(_text) / 2) as int)")
     ring = in_a_ring(plain.select("_id", *OWN, half.alias("_half")))
-    texts = plain.groupBy(*OWN).agg(F.first("_id").alias("_id"), F.first("_text").alias("_text"))
+    texts = plain.groupBy(*OWN).agg(F.first("_text").alias("_text"))
 
     def of_next(values: DataFrame, *wanted: Column) -> DataFrame:
         """For each document, what ``wanted`` says of the next one's row in values."""
@@ -133,7 +173,7 @@ def fingerprints_of_edits(docs: DataFrame, key: str = "doc_id", text: str = "tex
 
     # The next text moves, cut to what is needed; the document's own stays where its key is.
     begin = F.expr("substring(_text, 1, _half)").alias("_begin")
-    joined = texts.join(of_next(texts, "_copies", begin), OWN)
+    joined = texts.join(of_next(texts, "_id", "_copies", begin), OWN)
     kept = F.expr("substring(_text, 1, length(_text) - cast(floor(length(_text) / 2) as int))")
     edited = joined.select(
         *OWN,
@@ -146,16 +186,13 @@ def fingerprints_of_edits(docs: DataFrame, key: str = "doc_id", text: str = "tex
     # 0: the text itself, 1: edited with the next document's, 2: with its own, where it follows itself.
     which = F.array(*[F.struct(F.lit(i).alias("_which"), F.col(f"_{i}").alias("_text")) for i in range(3)])
     each = edited.select(*OWN, F.inline(F.filter(which, lambda x: x["_text"].isNotNull())))
-    sampled = weighted_samples(word_terms(each, [*OWN, "_which"], "_text"), [*OWN, "_which"], samples)
-    printed = sampled.groupBy(*OWN).agg(
-        *[F.max(F.when(F.col("_which") == i, F.col("samples"))).alias(f"_print{i}") for i in range(3)]
-    )
+    printed = variant_samples(each, OWN, 3, samples)
     facts = edited.select(
         *OWN,
         "_id",
         F.length("_0").cast("long").alias("n_chars"),
-        F.sha2("_1", 256).alias("_sha1"),
-        F.sha2("_2", 256).alias("_sha2"),
+        F.unhex(F.sha2("_1", 256)).alias("_sha1"),
+        F.unhex(F.sha2("_2", 256)).alias("_sha2"),
     )
     done = staged(printed.join(facts, OWN), "fingerprints")
 
@@ -170,9 +207,9 @@ def fingerprints_of_edits(docs: DataFrame, key: str = "doc_id", text: str = "tex
     return result.select(
         F.col("_id").alias("doc_id"),
         "n_chars",
-        F.when(one, F.col("_sha1")).otherwise(F.col("_sha2")).alias("edited_sha256"),
-        as_text(F.col("_print0")).alias("fingerprint"),
-        as_text(edit).alias("edited_fingerprint"),
-        likeness(F.col("_print0"), edit).alias("near_edited"),
-        F.when(one, likeness(F.col("_print0"), F.col("_print3"))).otherwise(1.0).alias("near_next"),
+        F.lower(F.hex(F.when(one, F.col("_sha1")).otherwise(F.col("_sha2")))).alias("edited_sha256"),
+        F.lower(F.hex("_print0")).alias("fingerprint"),
+        F.lower(F.hex(edit)).alias("edited_fingerprint"),
+        likeness(F.col("_print0"), edit, samples).alias("near_edited"),
+        F.when(one, likeness(F.col("_print0"), F.col("_print3"), samples)).otherwise(1.0).alias("near_next"),
     )
