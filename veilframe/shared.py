@@ -34,16 +34,34 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+# Spark's own setting: the shuffle files of an execution are deleted when it ends.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged_at(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), tidy: bool = False) -> DataFrame:
+    """Write ``df`` once to ``path`` and read it back; see staged()."""
+    spark = df.sparkSession
+    before = spark.conf.get(TIDY, None)
+    if tidy:
+        spark.conf.set(TIDY, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        if tidy and before is None:
+            spark.conf.unset(TIDY)
+        elif tidy:
+            spark.conf.set(TIDY, before)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
+
+
+def staged(df: DataFrame, label: str, partition_by: tuple[str, ...] = (), tidy: bool = False) -> DataFrame:
     """Write ``df`` once and read it back, so later steps do not recompute it.
 
     A written table survives the loss of any executor, is pruned by column and
-    by partition when it is read, and gives every reader the same rows.
+    by partition when it is read, and gives every reader the same rows. ``tidy`` frees the
+    disk that the shuffles of the work took: nothing but the written table is read later.
     """
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(df.columns)
+    return staged_at(df, fresh_path(df.sparkSession, label), partition_by, tidy)
 
 
 # Input below this many bytes per core is spread out before costly work on it.
