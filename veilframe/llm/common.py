@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.shared import CHECKPOINT_DIR, fresh_path, staged  # noqa: F401
+from veilframe.shared import CHECKPOINT_DIR, fresh_path, staged, staged_at  # noqa: F401
 
 
 def read(spark, sf_dir: str, table: str) -> DataFrame:

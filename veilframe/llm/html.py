@@ -10,8 +10,9 @@ around it, or any element with more than three quarters of a page's main text.
 
 Rules go beside the counts: elements that are menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles or comments by tag, class, id or role
-never count as main text. Where a page has an article, only that is main text;
-else its main element; else the body.
+never count as main text; the header of an article is part of it. Where a page has a main
+element, that is main text, and of it only the articles if they hold most of its text;
+else its articles; else the body.
 
 Edge cases: a null or empty html gives an empty text; without a host no subtree
 is a template; repeated rows give repeated results; unclosed tags end with their
@@ -36,12 +37,14 @@ MIN_PAGES = 5
 MIN_SHARE = 0.05
 # An element with more than this share of its page's main text is no template.
 MOST = 0.75
-# Templates that hold this share of all subtrees or more are told to every task: at most 1000.
+# As many templates are told to every task. Beyond that only those that hold a thousandth of all
+# subtrees are, at most 1000; pages meet the others by a join.
+BROADCAST_TEMPLATES = 1_000_000
 HEAVY_SHARE = 1000
 
 # HTML elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NO_TEXT = frozenset("head script style noscript template iframe svg math canvas object audio video".split())
+NO_TEXT = frozenset("head title script style noscript template iframe svg math canvas object audio video".split())
 ASIDE = frozenset("nav header footer aside form button select textarea option dialog menu label fieldset".split())
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption summary".split())
 BLOCK = TEXT | frozenset(
@@ -49,26 +52,38 @@ BLOCK = TEXT | frozenset(
     "ol section table tbody thead tfoot ul aside dialog".split()
 )
 ROOT = frozenset(["html", "body", "article", "main"])
+# Where blocks stand: aside, elsewhere, in a main element, in an article, in an article of a main element.
+ASIDE_LEVEL, ELSEWHERE, IN_MAIN, IN_ARTICLE, IN_BOTH = -1, 0, 1, 2, 3
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 MARKS = frozenset(
     "ad ads adbox advert advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice notices "
     "popup modal overlay newsletter subscribe signup login sidebar side aside widget menu nav navbar navigation "
-    "breadcrumb breadcrumbs pager pagination header masthead footer copyright legal share social related "
-    "recommended comment comments commentlist reply replies disqus form search skip".split()
+    "breadcrumb breadcrumbs pager pagination header masthead footer copyright share sharing social related "
+    "recommended teaser teasers comment comments commentlist reply replies disqus form search skip".split()
+)
+# Words that say nothing about what an element is; a name of one mark and such words is a mark.
+NEUTRAL = frozenset(
+    "area bar block bottom box button buttons column container content global group icon icons inner item items "
+    "label left link links list main outer page panel position posts primary region right row secondary section "
+    "site slot space sticky sub tools top unit wrap wrapper".split()
 )
 
 
-def is_aside(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    if tag in ASIDE:
-        return True
-    if tag in ROOT:
+def is_mark(name: str) -> bool:
+    """Does a class or id say that an element is no main text? ``site-header`` does, ``entry-header`` doesn't."""
+    parts = [x for x in re.split(r"[^a-z]+", name) if x]
+    return any(x in MARKS for x in parts) and all(x in MARKS or x in NEUTRAL for x in parts)
+
+
+def is_aside(tag: str, attrs: list[tuple[str, str | None]], level: int) -> bool:
+    if tag in ("html", "body"):
         return False
+    if tag in ASIDE and not (tag == "header" and level >= IN_ARTICLE):
+        return True
     for name, value in attrs:
         if name == "role" and (value or "").strip().lower() in ROLES:
             return True
-        if name in ("class", "id") and any(
-            mark in MARKS for mark in re.split(r"[^a-z]+", (value or "").lower())
-        ):
+        if name in ("class", "id") and any(map(is_mark, (value or "").lower().split())):
             return True
         if name == "hidden":
             return True
@@ -80,9 +95,9 @@ class Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int]] = []  # text; 2 in an article, 1 in main, 0 elsewhere, -1 aside
+        self.blocks: list[tuple[str, int]] = []  # text and level
         self.subtrees: list[tuple[int, int, int]] = []  # hash, first block, end block
-        self.best = 0
+        self.wanted = {ELSEWHERE}
         self.open: list[list] = []  # tag, level before, first block, digest, highest level of its blocks
         self.level = 0
         self.silent = 0
@@ -109,14 +124,13 @@ class Page(HTMLParser):
         if tag in NO_TEXT:
             self.silent += 1
         if self.level >= 0:
-            if is_aside(tag, attrs):
+            if is_aside(tag, attrs, self.level):
                 self.flush_inline(tag)
-                self.level = -1
+                self.level = ASIDE_LEVEL
             elif tag == "article":
-                self.level = 2
-            elif self.level < 1 and (tag == "main" or ("role", "main") in attrs):
-                self.level = 1
-            self.best = max(self.best, self.level)
+                self.level = IN_BOTH if self.level in (IN_MAIN, IN_BOTH) else IN_ARTICLE
+            elif tag == "main" or ("role", "main") in attrs:
+                self.level = IN_BOTH if self.level >= IN_ARTICLE else IN_MAIN
 
     def flush_inline(self, tag):
         """Text before an inline element of another level is a block of its own."""
@@ -165,6 +179,14 @@ class Page(HTMLParser):
                 self.end_to(i)
                 return
 
+    def parse_marked_section(self, i, report=1):
+        """A section of a kind that HTML doesn't know ends with the next sign, as a comment does."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            end = self.rawdata.find(">", i)
+            return end + 1 if end >= 0 else -1
+
     def handle_data(self, data):
         if not self.silent:
             self.words.append(data)
@@ -173,7 +195,15 @@ class Page(HTMLParser):
         self.close()
         self.end_to(0)
         self.flush()
-        sizes = [len(text) if level == self.best else 0 for text, level in self.blocks]
+        held = [0] * (IN_BOTH + 1)
+        for text, level in self.blocks:
+            if level >= 0:
+                held[level] += len(text)
+        if held[IN_MAIN] or held[IN_BOTH]:
+            self.wanted = {IN_BOTH} if held[IN_BOTH] >= held[IN_MAIN] else {IN_MAIN, IN_BOTH}
+        elif held[IN_ARTICLE]:
+            self.wanted = {IN_ARTICLE}
+        sizes = [len(text) if level in self.wanted else 0 for text, level in self.blocks]
         up_to = [0, *accumulate(sizes)]
         most = MOST * up_to[-1]
         self.subtrees = [s for s in self.subtrees if not 0 < most < up_to[s[2]] - up_to[s[1]]]
@@ -181,7 +211,7 @@ class Page(HTMLParser):
 
     def core(self) -> int:
         """A hash of the main text."""
-        main = "\n".join(text for text, level in self.blocks if level == self.best)
+        main = "\n".join(text for text, level in self.blocks if level in self.wanted)
         value = hashlib.blake2b(main.encode("utf-8", "replace"), digest_size=8).digest()
         return int.from_bytes(value, "big", signed=True)
 
@@ -209,8 +239,9 @@ def parsed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
                 page.feed(text.as_py())
                 page.done()
                 core.append(page.core())
-                blocks.append([b for b, _ in page.blocks])
-                main.append([level == page.best for _, level in page.blocks])
+                # Only the place of other text is needed.
+                main.append([level in page.wanted for _, level in page.blocks])
+                blocks.append([b if level in page.wanted else "" for b, level in page.blocks])
                 subtrees.append([dict(zip(("hash", "first", "end"), s, strict=True)) for s in page.subtrees])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -241,6 +272,17 @@ def templates(rows: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MI
     return counts.join(sizes, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash", "n")
 
 
+def _kept(marked: DataFrame) -> DataFrame:
+    """The main text outside the subtrees whose hashes are in ``deleted``."""
+    marked = marked.withColumn("ranges", F.expr("filter(subtrees, s -> array_contains(deleted, s.hash))"))
+    kept = F.expr(
+        "filter(blocks, (b, i) -> main[i] and not exists(ranges, s -> s.first <= i and i < s.end))"
+    )
+    return marked.select(
+        "page_id", "url", F.array_join(kept, "\n").alias("text"), F.size("deleted").alias("n_templates")
+    )
+
+
 def extract(
     pages: DataFrame,
     page_id: str = "page_id",
@@ -254,6 +296,11 @@ def extract(
     rows = rows.withColumn("hashes", F.array_distinct("subtrees.hash"))
     counted = staged(templates(rows, min_pages, min_share), "html-templates")
 
+    none = F.array().cast("array<bigint>")
+    if counted.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES:
+        every = counted.groupBy("host").agg(F.collect_list("hash").alias("all")).withColumnRenamed("host", "h")
+        told = rows.join(F.broadcast(every), F.col("host") == F.col("h"), "left")
+        return _kept(told.withColumn("deleted", F.array_intersect("hashes", F.coalesce("all", none))))
     # Templates of very many pages go to all tasks, the others meet their pages by host and hash.
     total = rows.agg(F.sum(F.size("hashes"))).first()[0] or 0
     heavy = counted.where(F.col("n") * HEAVY_SHARE >= total).groupBy("host").agg(
@@ -272,20 +319,13 @@ def extract(
         .select(F.col("host").alias("l"), F.col("page").alias("p"), "light")
     )
     # Pages that hold nothing light need no partner; what their rows hash to spreads them.
-    none = F.array().cast("array<bigint>")
     deleted = F.array_intersect("hashes", F.concat(F.coalesce("heavy", none), F.coalesce("light", none)))
     marked = (
         rows.join(F.broadcast(heavy), F.col("host") == F.col("h"), "left")
         .join(light, (F.col("host") == F.col("l")) & (F.col("page") == F.col("p")), "left")
         .withColumn("deleted", deleted)
-        .withColumn("ranges", F.expr("filter(subtrees, s -> array_contains(deleted, s.hash))"))
-    )
-    kept = F.expr(
-        "filter(blocks, (b, i) -> main[i] and not exists(ranges, s -> s.first <= i and i < s.end))"
-    )
-    return marked.select(
-        "page_id", "url", F.array_join(kept, "\n").alias("text"), F.size("deleted").alias("n_templates")
     )
+    return _kept(marked)
 
 
 def report(pages: DataFrame, **names) -> DataFrame:
