@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import staged
+from veilframe.llm.common import drop_path, fresh_path, staged_at
 from veilframe.llm.words import (
     SPACED,
     as_long,
@@ -63,6 +63,12 @@ SEARCH_BYTES = 16 << 20
 BINARY = pa.binary()
 
 
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """A written table and its path; the shuffles that made it are freed."""
+    path = fresh_path(df.sparkSession, f"setjoin-{label}")
+    return staged_at(df, path, tidy=True), path
+
+
 # --- sets and their bounds -----------------------------------------------------------
 
 
@@ -413,14 +419,14 @@ def search(docs: DataFrame, k: int, pairs: DataFrame, classes: DataFrame) -> Dat
     """The pairs (q, d) whose sets reach the threshold, with their overlap.
 
     ``pairs`` must have nq, the size of q's set, and each pair once; ``classes`` names
-    the hash of one text for each key.
+    the hash of one text for each key. What was found is written; the sets are deleted.
     """
     spark = docs.sparkSession
-    pairs = staged(pairs.select("q", "d", "nq"), "setjoin-pairs")
+    pairs, pairs_path = written(pairs.select("q", "d", "nq"), "pairs")
     keys = pairs.select(F.col("q").alias("key")).union(pairs.select("d")).distinct()
     bits = spark.sparkContext.broadcast(key_filter(classes.join(keys, "key", "left_semi"), "hash"))
-    sets = staged(
-        sets_of(docs, k, bits).join(keys, "key", "left_semi").dropDuplicates(["key"]), "setjoin-sets"
+    sets, sets_path = written(
+        sets_of(docs, k, bits).join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets"
     )
     # A query with many candidates is asked block by block.
     size = F.greatest(F.lit(1), F.lit(SEARCH_BYTES) / (F.col("nq") * 10)).cast("long")
@@ -480,25 +486,25 @@ def search(docs: DataFrame, k: int, pairs: DataFrame, classes: DataFrame) -> Dat
             if out:
                 yield result()
 
-    return (
-        queries.unionByName(members)
-        .repartition("q", "block")
-        .sortWithinPartitions("q", "block")
-        .mapInArrow(run, "q binary, d binary, overlap long")
-    )
+    groups = queries.unionByName(members).repartition("q", "block").sortWithinPartitions("q", "block")
+    links, _ = written(groups.mapInArrow(run, "q binary, d binary, overlap long"), "links")
+    drop_path(spark, pairs_path)
+    drop_path(spark, sets_path)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
     """(key, comp): the smallest key that links lead to, for all keys with a link."""
-    edges = staged(
+    spark = links.sparkSession
+    edges, edges_path = written(
         links.select(F.col("q").alias("a"), F.col("d").alias("b"))
         .union(links.select("d", "q"))
         .distinct(),
-        "setjoin-edges",
+        "edges",
     )
-    labels = staged(
+    labels, labels_path = written(
         edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("comp")),
-        "setjoin-labels",
+        "labels",
     )
     while True:
         near = (
@@ -513,9 +519,11 @@ def components(links: DataFrame) -> DataFrame:
             .join(far, "comp", "left")
             .select("key", "comp", F.least("comp", "near", "far").alias("next"))
         )
-        new = staged(new, "setjoin-labels")
-        labels = new.select("key", F.col("next").alias("comp"))
+        new, new_path = written(new, "labels")
+        drop_path(spark, labels_path)
+        labels, labels_path = new.select("key", F.col("next").alias("comp")), new_path
         if new.where("next != comp").isEmpty():
+            drop_path(spark, edges_path)
             return labels
 
 
@@ -529,7 +537,7 @@ def jaccard_links(docs: DataFrame, k: int = WORDS, doc_id: str = "doc_id", text:
     """
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
-    passed = staged(profiles(source, k), "setjoin-profiles")
+    passed, _ = written(profiles(source, k), "profiles")
     profile = passed.where("n is not null").select("id", "n", "key", "hash")
     classes = passed.where("key is not null").select("key", "n", "sig").dropDuplicates(["key"])
 
@@ -549,7 +557,7 @@ def jaccard_links(docs: DataFrame, k: int = WORDS, doc_id: str = "doc_id", text:
     )
 
     posted = postings(source, k, frequent)
-    lists = staged(star_lists(posted, frequent, True), "setjoin-lists")
+    lists, lists_path = written(star_lists(posted, frequent, True), "lists")
     # Heads of salted lists are joined by a star of their own.
     heads = lists.where("key = head").select("token", F.lit(0).alias("salt"), "key", "n", "pos")
     between = star_lists(heads, frequent, False)
@@ -575,26 +583,24 @@ def jaccard_links(docs: DataFrame, k: int = WORDS, doc_id: str = "doc_id", text:
     likely = stars.mapInArrow(allowed, kinds).select(
         F.col("head").alias("q"), F.col("key").alias("d"), F.col("head_n").alias("nq")
     )
-    first = staged(search(source, k, likely, texts), "setjoin-links")
+    first = search(source, k, likely, texts)
     found = components(first)
 
-    # Lists that still hold several components.
+    # Lists that still hold several components. Most hold one, and are left before anything else is joined.
     known = sig.join(found, "key", "left").select("key", "sig", F.coalesce("comp", "key").alias("comp"))
+    placed, placed_path = written(
+        lists.select("token", "salt", "key", "n", "pos").join(known.select("key", "comp"), "key"), "placed"
+    )
+    drop_path(spark, lists_path)
+    several = placed.groupBy("token").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("salt").alias("salts")
+    ).where("low != high").select("token", "salts")
+    held = placed.join(several, "token")
     sizes = known.groupBy("comp").agg(F.count("*").alias("size"))
-    rows = lists.select("token", "salt", "key", "n", "pos").join(known, "key")
-    several = (
-        rows.join(sizes, "comp")
-        .groupBy("token")
-        .agg(
-            F.min("comp").alias("low"),
-            F.max("comp").alias("high"),
-            F.max(F.struct("size", "comp"))["comp"].alias("bulk"),
-            F.max("salt").alias("salts"),
-        )
-        .where("low != high")
-        .select("token", "bulk", "salts")
+    bulk = held.select("token", "comp").distinct().join(sizes, "comp").groupBy("token").agg(
+        F.max(F.struct("size", "comp"))["comp"].alias("bulk")
     )
-    rows = rows.join(several, "token").withColumn("asks", F.col("comp") != F.col("bulk"))
+    rows = held.join(bulk, "token").join(sig, "key").withColumn("asks", F.col("comp") != F.col("bulk"))
     others = F.filter(F.sequence(F.lit(0), F.col("salts")), lambda s: s != F.col("salt"))
     columns = ["token", "salt", "key", "n", "pos", "sig", "comp", "asks"]
     asking = rows.where("asks and salts > 0").withColumn("salt", F.explode(others))
@@ -603,6 +609,7 @@ def jaccard_links(docs: DataFrame, k: int = WORDS, doc_id: str = "doc_id", text:
     )
     left = rest_pairs(blocks).distinct().join(classes.select(F.col("key").alias("q"), F.col("n").alias("nq")), "q")
     second = search(source, k, left, texts)
+    drop_path(spark, placed_path)
     return profile, first.unionByName(second)
 
 
