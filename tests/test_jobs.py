@@ -111,7 +111,7 @@ def test_fakes_have_their_format(spark):
             for ty in list(P.BY_TYPE) + ["PERSON", "RU_ORGANIZATION", "RU_LOCATION", "OTHER"]
             for i in range(1, 30)]
     df = spark.createDataFrame(rows, "group_id string, norm string, ty string, original string, n bigint")
-    made = fakes.candidates(df, "s", rounds=1).collect()
+    made = fakes.stand_ins(df, "s").collect()
     for row in made:
         if row.ty in fakes.FORMATS:
             shape = "".join(
@@ -130,6 +130,24 @@ def test_fakes_have_their_format(spark):
         assert len(set(tokens)) == len(tokens), ty
 
 
+def test_a_space_is_used_up_before_anything_else(spark):
+    """A hundred cities: as many stand-ins, also where some are originals of the group."""
+    from veilframe.operators.fake_tokens import faked
+
+    schema = "group_id string, norm string, ty string, original string, n bigint"
+    rows = [("g", f"v{i}", "RU_LOCATION", f"V{i}", i) for i in range(1, 101)]
+    first = faked(spark.createDataFrame(rows, schema), "s").collect()
+    cities = {r.token for r in first}
+    assert len(cities) == 100 and not any(t.startswith("[") for t in cities)
+    taken = sorted(cities)[:30]
+    # Thirty of the values are originals now; the others still have seventy stand-ins of their own.
+    rows = [("g", t.lower(), "RU_ORGANIZATION", t, i) for i, t in enumerate(taken, 1)]
+    rows += [("g", f"v{i}", "RU_LOCATION", f"V{i}", i) for i in range(1, 81)]
+    tokens = [r.token for r in faked(spark.createDataFrame(rows, schema), "s").collect() if r.ty == "RU_LOCATION"]
+    assert len(set(tokens)) == 80
+    assert {t for t in tokens if not t.startswith("[")} == cities - set(taken)
+
+
 def test_small_spaces_overflow_into_other_tokens(spark):
     from veilframe.operators.fake_tokens import faked
 
@@ -190,3 +208,42 @@ def test_session_table_expires(spark, tmp_path):
     now = F.lit("2024-01-03 12:00:00").cast("timestamp")
     left = sessions.expire(spark, path, now, 24)
     assert [r.session_id for r in left.collect()] == ["c"]
+
+
+def test_a_repeated_batch_of_a_stream_writes_once(spark, tmp_path):
+    """Masked texts, entities, sessions and audit lines are the same after a batch was played again."""
+    from veilframe.sources.sinks import read_batches, write_batch
+    from veilframe.streaming.jobs import mask_batches
+
+    out = str(tmp_path)
+    work = mask_batches(f"{out}/t", lang="ru", secret="s", sessions=f"{out}/s", audits=f"{out}/a")
+    first, second = frame(spark), frame(spark).withColumn("doc_seq", F.col("doc_seq") + 100)
+
+    def written():
+        made = read_batches(spark, f"{out}/s", sessions.SCHEMA).select("session_id", "entities_count")
+        lines = read_batches(spark, f"{out}/a", "token string, original_text_preview string", "json")
+        texts = spark.read.parquet(f"{out}/t/masked").select("doc_seq", "masked_text")
+        return [sorted(map(tuple, df.collect())) for df in (made, lines, texts)]
+
+    work(first, 0)
+    work(second, 1)
+    once = written()
+    work(second, 1)
+    assert written() == once and all(once)
+    # A batch without its mark was not written to its end.
+    write_batch(first.select("doc_seq"), f"{out}/s", "7")
+    (tmp_path / "s" / "batch=7" / "_SUCCESS").unlink()
+    assert written() == once
+
+
+def test_sessions_beyond_their_time_are_not_known(spark):
+    from veilframe.plans.files import Sess
+
+    used = spark.createDataFrame([("a", "<X_1>", "one", 1), ("b", "<X_1>", "two", 30)], "id string, token string, original string, age int")
+    now = F.lit("2024-03-01 12:00:00").cast("timestamp")
+    rows = Sess.new_sessions(used, ["id", "age"], "k", session_id=F.col("id"), created_at=now - F.make_dt_interval(hours=F.col("age")))
+    texts = spark.createDataFrame([(1, "a", "<X_1>"), (2, "b", "<X_1>"), (3, "a, b", "<X_1>")], "n int, ids string, text string")
+    back = jobs.restore(texts, "text", "ids", rows, "k", ["n"], now=now)
+    assert {r.n: (r.restored_text, r.status) for r in back.collect()} == {1: ("one", 200), 2: ("<X_1>", 404), 3: ("one", 200)}
+    every = jobs.restore(texts, "text", "ids", rows, "k", ["n"], ttl_hours=None)
+    assert {r.n: r.restored_text for r in every.collect()} == {1: "one", 2: "two", 3: "two"}

@@ -1,8 +1,10 @@
 """Realistic stand-ins, computed from a value's ordinal and a secret.
 
-Each type has a space of ``size`` values; the ordinal is spread over it by a
-step that shares no factor with the size, so two ordinals below the size never
-meet, and a repeated task gives the same value.
+Each type has a space of ``size`` values. A keyed Feistel network permutes the ordinals
+of a group and type over it: two halves of the ordinal, each below the square root of the
+size, are mixed in rounds, and what falls outside the space is mixed again until it is
+inside. So ordinals up to the size never meet, all values are used before the space is exhausted, their
+order tells nothing without the secret, and a repeated task gives the same value.
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# --- Fixed values: pools of invented stand-ins (sizes have no factor but 2,3,5,11,13)
+from veilframe.functions.text import let
+
+# --- Fixed values: pools of invented stand-ins
 SURNAMES = [
     "Белов", "Волков", "Громов", "Данилов", "Ершов", "Жаров", "Зимин", "Исаев", "Краснов", "Лаптев",
     "Марков", "Носов", "Орлов", "Панин", "Рыбаков", "Серов", "Титов", "Уваров", "Фомин", "Хохлов",
@@ -86,9 +90,9 @@ BY_LENGTH = {
 }
 # -----------------------------------------------------------------------------
 
-# Shares no factor with any size but the ones below.
-_STEP_FACTOR = 2 * 3 * 5 * 11 * 13
-ROUNDS = 3
+# Rounds of the network, and how often it is walked at most: two halves below WALK leave fewer
+# places outside the space than that, and larger ones so few that no walk comes near it.
+ROUNDS, WALK = 4, 200
 
 
 def _size_of(template: str) -> int:
@@ -190,37 +194,36 @@ def fallback() -> str:
     return "concat('[', ty, '_', lpad(cast(n as string), greatest(4, length(cast(n as string))), '0'), ']')"
 
 
-def candidates(numbered: DataFrame, secret: str, rounds: int = ROUNDS) -> DataFrame:
-    """The stand-ins to try: one row per entity and round, with ``token``."""
-    # The plan holds a digest that serves stand-ins only, never the secret.
-    digest = hashlib.sha256(f"fakes:{secret}".encode()).hexdigest()
+def _permuted(digest: str) -> str:
+    """The ordinal's place in the space, from 0; null beyond its size."""
 
-    def keyed(use: str) -> str:
-        salted = f"concat('{digest}', ':{use}:', round, ':', group_id, ':', ty)"
-        return f"cast(conv(substr(sha2({salted}, 256), 1, 12), 16, 10) as decimal(15,0))"
+    def mixed(half: str, i: str) -> str:
+        salted = f"concat('{digest}', ':', {i}, ':', group_id, ':', ty, ':', coalesce(_form, ''), ':', {half})"
+        return f"cast(conv(substr(sha2({salted}, 256), 1, 15), 16, 10) as bigint)"
 
-    step = f"cast(({keyed('step')} * {_STEP_FACTOR} + 1) % _size as decimal(19,0))"
-    spread = f"{step} * cast(n as decimal(18,0)) + {keyed('shift')}"
-    words = " ".join(f"when '{ty}' then {sql}" for ty, (sql, _) in WORDED.items())
-    drawn = (
-        numbered.select(
-            "group_id",
-            "norm",
-            "ty",
-            "n",
-            "original",
-            F.explode(F.array(*[F.lit(r) for r in range(rounds)])).alias("round"),
-        )
-        .withColumn("_form", F.expr(_template()))
-        .withColumn("_size", F.expr(_size()))
-        .withColumn("_idx", F.expr(f"cast(({spread}) % _size as bigint)"))
-        .withColumn(
-            "token",
-            F.expr(f"if(_form is null, case ty {words} else {fallback()} end, {_filled()})"),
-        )
-        .withColumn(
-            "token",
-            F.expr(f"if(ty = 'CREDIT_CARD', concat(token, {_card_digit('token')}), token)"),
-        )
+    network = (
+        f"aggregate(sequence(1, {ROUNDS}), named_struct('l', s.l, 'r', s.r), (t, j) -> "
+        f"named_struct('l', t.r, 'r', (t.l + {mixed('t.r', 'j')} % _side) % _side))"
     )
-    return drawn.select("group_id", "norm", "ty", "n", "round", "token")
+    step = f"transform(array({network}), t -> named_struct('l', t.l, 'r', t.r, 'out', t.l * _side + t.r >= _size))[0]"
+    start = "named_struct('l', (n - 1) div _side, 'r', (n - 1) % _side, 'out', true)"
+    walked = f"aggregate(sequence(1, {WALK}), {start}, (s, i) -> if(s.out, {step}, s), s -> if(s.out, null, s.l * _side + s.r))"
+    return f"if(n between 1 and _size, {walked}, null)"
+
+
+def stand_ins(numbered: DataFrame, secret: str) -> DataFrame:
+    """``numbered`` (group_id, norm, ty, n, original) with ``token``, the n-th stand-in of its
+    group and type; null where the type has fewer."""
+    # The plan holds a digest that serves stand-ins only, never the secret.
+    digest = hashlib.sha256(f"fakes:{secret}".encode()).hexdigest()
+    words = " ".join(f"when '{ty}' then {sql}" for ty, (sql, _) in WORDED.items())
+    generated = f"(_form is not null or ty in ({', '.join(repr(ty) for ty in WORDED)}))"
+    root = "cast(ceil(sqrt(cast(_size as double))) as bigint)"
+    side = f"{root} + if({root} * {root} < _size, 1, 0)"
+    token = f"if(_idx is null, null, if(_form is null, case ty {words} end, {_filled()}))"
+    # Bound names are worked out once; columns would be put into one another by the optimiser.
+    made = token
+    for value, name in ((_permuted(digest), "_idx"), (side, "_side"), (f"cast({_size()} as bigint)", "_size"), (_template(), "_form")):
+        made = let(value, name, f"if({generated}, {made}, {fallback()})" if name == "_form" else made)
+    card = let(made, "_t", f"if(ty = 'CREDIT_CARD', concat(_t, {_card_digit('_t')}), _t)")
+    return numbered.withColumn("n", F.col("n").cast("bigint")).withColumn("token", F.expr(card))

@@ -98,8 +98,13 @@ def sensitive_header(header: Column) -> Column:
 
 
 def numeric_round_trip(masked: Column) -> Column:
-    """A masked number written as a number again where it still is one."""
-    return F.coalesce(masked.try_cast("double").cast("string"), masked)
+    """A masked number written as a number again where it still is one.
+
+    A number with more digits than a double holds stays as it is written.
+    """
+    number = masked.try_cast("double")
+    exact = masked.try_cast("decimal(38,9)") == number.try_cast("decimal(38,9)")
+    return F.when(exact, number.cast("string")).otherwise(masked)
 
 
 def titlecase_like(source: Column, target: Column) -> Column:

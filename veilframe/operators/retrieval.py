@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilframe.operators.entities import with_ordinals
+from veilframe.shared import staged
+
 TOKEN = "[a-z0-9]+"
 K1, B = 1.2, 0.75
 RANK_OFFSET = 60
@@ -72,3 +78,183 @@ def fused(a: DataFrame, b: DataFrame, key: str, offset: int = RANK_OFFSET) -> Da
         return F.coalesce(1.0 / (offset + F.col(rank)), F.lit(0.0))
 
     return left.join(right, key, "full_outer").select(key, (part("ra") + part("rb")).alias("score"))
+
+
+# --- dense retrieval for a table of questions --------------------------------------------
+
+# Questions that are told to every task at once; more are asked block by block.
+QUESTIONS = 4_096
+# Vectors that are multiplied with them at once.
+VECTORS = 2_048
+# Scores are compared to this many places, so equal vectors tie whatever order they are summed in.
+PLACES = 12
+
+
+def _unit_rows(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of ``width`` finite numbers and not all zero, with length 1; and which rows they are."""
+    right = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False) == width
+    at = np.flatnonzero(right)
+    flat = column.take(pa.array(at)).flatten().cast(pa.float64())
+    x = flat.to_numpy(zero_copy_only=False).reshape(-1, width) if len(at) else np.zeros((0, width))
+    length = np.sqrt((x * x).sum(axis=1))
+    fine = np.isfinite(length) & (length > 0)
+    return x[fine] / length[fine, None], at[fine]
+
+
+def _best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each row of scores its k best (ids, scores), ties by the smaller id."""
+    out = []
+    cut = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+    for row, least in zip(scores, cut, strict=True):
+        at = np.flatnonzero(row >= least)
+        at = at[np.lexsort((ids[at], -row[at]))][:k]
+        out.append((ids[at], row[at]))
+    return out
+
+
+def nearest(
+    questions: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding",
+    least: float | None = None, questions_at_once: int = QUESTIONS,
+) -> DataFrame:
+    """The ``k`` vectors most like each question by cosine: question, key, rank, score. Exact.
+
+    ``questions`` and ``vectors`` have a whole number ``key`` and an array ``vector``; a vector
+    with the key of the question is left out, as are null, empty, zero and non-finite ones and
+    those of another length than the question. ``least`` is the smallest score that counts.
+    A task multiplies a batch of vectors with a block of questions and keeps its k best, and
+    these are merged; ties go to the smaller key. Each block reads the vectors once.
+    """
+    spark = questions.sparkSession
+    n = questions.count()
+    blocks = max(1, -(-2 * n // questions_at_once) if n > questions_at_once else 1)
+    asked = staged(
+        questions.select(F.col(key).cast("long").alias("q"), F.col(vector).alias("v"))
+        .where("q IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks))),
+        "questions",
+    )
+
+    def asker(told):
+        def run(batches):
+            best: dict[int, list] = {}
+            for batch in batches:
+                every = batch.column(0)
+                for width, (q, own) in told.value.items():
+                    x, at = _unit_rows(batch.column(1), width)
+                    if not len(x):
+                        continue
+                    ids = every.take(pa.array(at)).to_numpy(zero_copy_only=False)
+                    kept = best.setdefault(width, [(np.zeros(0, np.int64), np.zeros(0))] * len(own))
+                    for lo in range(0, len(x), VECTORS):
+                        here = ids[lo : lo + VECTORS]
+                        scores = np.round(q @ x[lo : lo + VECTORS].T, PLACES)
+                        scores[own[:, None] == here[None, :]] = -np.inf
+                        for i, (new, s) in enumerate(_best_of(scores, here, k)):
+                            ids_i, s_i = np.concatenate([kept[i][0], new]), np.concatenate([kept[i][1], s])
+                            top = np.lexsort((ids_i, -s_i))[:k]
+                            kept[i] = ids_i[top], s_i[top]
+            for width, kept in best.items():
+                own = told.value[width][1]
+                count = [len(ids) for ids, _ in kept]
+                columns = [np.repeat(own, count), *(np.concatenate(c) for c in zip(*kept, strict=True))]
+                found = np.isfinite(columns[2])
+                yield pa.RecordBatch.from_arrays([pa.array(c[found]) for c in columns], ["question", "id", "score"])
+
+        return run
+
+    source = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("id IS NOT NULL")
+    parts = []
+    for block in range(blocks):
+        rows = asked.where(F.col("block") == block).select("q", "v").toArrow()
+        v, q = rows["v"].combine_chunks(), rows["q"].to_numpy()
+        widths = set(pa.compute.list_value_length(v).drop_null().to_pylist()) - {0}
+        told = {w: _unit_rows(v, w) for w in widths}
+        told = spark.sparkContext.broadcast({w: (x, q[at]) for w, (x, at) in told.items() if len(at)})
+        parts.append(source.mapInArrow(asker(told), "question long, id long, score double"))
+    found = reduce(DataFrame.unionByName, parts)
+    if least is not None:
+        found = found.where(F.col("score") >= least)
+    order = Window.partitionBy("question").orderBy(F.desc("score"), "id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("question", F.col("id").alias(key), "rank", "score")
+
+
+# --- lexical retrieval for a table of questions --------------------------------------------
+
+# Postings of one block, and best weights that are kept of each term.
+POSTINGS, BEST = 128, 100
+
+
+def _words(text: str) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
+    """An inverted index for bm25_many(): ``path``/blocks and ``path``/terms.
+
+    A block has up to 128 postings of a term in the order of their documents (whole numbers,
+    not negative) and the largest weight among them; blocks are sorted by term, so a reader is led
+    to its files by their statistics. ``terms`` has the frequency of each term and its
+    largest weights.
+    """
+    spark = docs.sparkSession
+    counted = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), _words(text).alias("w"))
+    sizes = counted.select("doc", F.size("w").alias("dl"), "w")
+    n, avgdl = sizes.where("dl >= 0").agg(F.count(F.lit(1)), F.avg("dl")).first()
+    each = sizes.select("doc", "dl", F.explode("w").alias("term")).groupBy("doc", "dl", "term").agg(
+        F.count(F.lit(1)).cast("int").alias("tf")
+    )
+    length = 1 - B + B * F.col("dl") / F.lit(float(avgdl or 1.0))
+    weighted = staged(each.select("term", "doc", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)).alias("weight")), "postings")
+    placed = with_ordinals(weighted, ["term"], "doc", [], "at")
+    blocks = placed.groupBy("term", F.expr(f"(at - 1) div {POSTINGS}").alias("block")).agg(
+        F.max("weight").alias("most"),
+        F.array_sort(F.collect_list(F.struct("doc", "weight"))).alias("postings"),
+    )
+    blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/blocks")
+    # The best weights of each block are enough to find those of the term.
+    best = spark.read.parquet(f"{path}/blocks").select(
+        "term",
+        F.size("postings").alias("df"),
+        F.slice(F.sort_array("postings.weight", asc=False), 1, BEST).alias("best"),
+    )
+    frequency = best.groupBy("term").agg(F.sum("df").alias("df"))
+    order = Window.partitionBy("term").orderBy(F.desc("weight"))
+    top = best.select("term", F.explode("best").alias("weight")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= BEST)
+    top = top.groupBy("term").agg(F.sort_array(F.collect_list("weight"), asc=False).alias("best"))
+    idf = F.log(1 + (F.lit(int(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    frequency.join(top, "term").select("term", "df", idf.alias("idf"), "best").repartitionByRange("term").sortWithinPartitions(
+        "term"
+    ).write.parquet(f"{path}/terms")
+
+
+def bm25_many(questions: DataFrame, path: str, k: int = 10, places: int = 9) -> DataFrame:
+    """The ``k`` best documents of each question: question, doc, rank, score. Exact, k up to BEST.
+
+    ``questions`` has ``question`` and an array ``terms``; repeated terms count once. The k-th
+    best weight of a single term is a score that k documents reach. A block whose largest
+    weight, together with the largest ones of all other terms, stays below that holds no
+    document of the answer, nor does any other block of such a document fall, so what is left
+    is scored in full. Scores are compared to ``places`` places, ties go to the smaller document.
+    """
+    if k > BEST:
+        raise ValueError(f"the index keeps {BEST} weights of a term")
+    spark = questions.sparkSession
+    asked = questions.select("question", F.explode(F.array_distinct("terms")).alias("term"))
+    known = asked.join(spark.read.parquet(f"{path}/terms"), "term")
+    bounds = known.groupBy("question").agg(
+        F.sum(F.col("idf") * F.col("best")[0]).alias("all"),
+        F.max(F.coalesce(F.col("idf") * F.try_element_at("best", F.lit(k)), F.lit(0.0))).alias("reached"),
+    )
+    wanted = known.join(bounds, "question").select(
+        "question", "term", "idf",
+        # What a block must hold itself; a little less, as sums are rounded.
+        ((F.col("reached") - F.col("all")) / F.col("idf") + F.col("best")[0] - 1e-9).alias("least"),
+    )
+    blocks = spark.read.parquet(f"{path}/blocks")
+    left = blocks.join(wanted, "term").where(F.col("most") >= F.col("least"))
+    scored = left.select("question", "idf", F.explode("postings").alias("p")).groupBy("question", F.col("p.doc").alias("doc")).agg(
+        F.round(F.sum(F.col("idf") * F.col("p.weight")), places).alias("score")
+    )
+    order = Window.partitionBy("question").orderBy(F.desc("score"), "doc")
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("question", "doc", "rank", "score")

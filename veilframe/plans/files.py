@@ -91,9 +91,12 @@ def restore_files(
 
 
 def restore_files_by_ids(
-    spark: SparkSession, path: str, out: str, ids: str, table: DataFrame, secret: str
+    spark: SparkSession, path: str, out: str, ids: str, table: DataFrame, secret: str,
+    ttl_hours: int | None = Sess.TTL_HOURS,
 ) -> FileResult:
     """Restore all masked files below ``path`` with the maps of a list of sessions or groups."""
+    if ttl_hours is not None:
+        table = Sess.live(table, F.current_timestamp(), ttl_hours)
     asked = spark.createDataFrame([(ids,)], "ids string")
     if Sess.resolve_status(asked, "ids", table).first()["status"] != 200:
         raise LookupError(f"no session or group of {ids} is known")

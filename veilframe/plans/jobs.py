@@ -18,6 +18,7 @@ from veilframe.operators.masking import KEY, apply_tokens, used_tokens
 from veilframe.operators.names import case_forms, token_in_case
 from veilframe.operators.restoring import restore_tokens
 from veilframe.shared import staged
+from veilframe.sources import leaves
 from veilframe.sources import sessions as Sess
 
 MODES = ("tags", "fake")
@@ -168,16 +169,16 @@ def _mask_once(units: DataFrame, text: str, **options) -> MaskResult:
 
 
 def mask_rows(
-    df: DataFrame, leaves: Column, seq: str, group: str | None = None, **options
+    df: DataFrame, strings: Column, seq: str, group: str | None = None, **options
 ) -> tuple[DataFrame, MaskResult]:
     """Mask all strings of a row together.
 
-    ``leaves`` is an array of the row's strings in document order. Adds
+    ``strings`` is an array of the row's strings in document order. Adds
     ``changes``, a map from each changed string to its masked form; equal strings
     of a row have equal masks, so the map can be applied anywhere in the row.
     """
     rows = _keyed(df, seq, seq, group, None).drop("unit_no")
-    units = rows.select("group_id", "doc_seq", F.posexplode(leaves).alias("unit_no", "text"))
+    units = rows.select("group_id", "doc_seq", F.posexplode(strings).alias("unit_no", "text"))
     units = units.where(f"not ({T.is_blank('text')})")
     result = mask(units, "text", "doc_seq", "group_id", "unit_no", **options)
     return _with_changes(rows, result.masked, "masked_text"), result
@@ -185,14 +186,14 @@ def mask_rows(
 
 def restore_rows(
     df: DataFrame,
-    leaves: Column,
+    strings: Column,
     seq: str,
     token_map: DataFrame,
     group: str | None = None,
 ) -> DataFrame:
     """The same with originals put back: adds ``changes`` from token to text."""
     rows = _keyed(df, seq, seq, group, None).drop("unit_no")
-    units = rows.select("group_id", "doc_seq", F.posexplode(leaves).alias("unit_no", "text"))
+    units = rows.select("group_id", "doc_seq", F.posexplode(strings).alias("unit_no", "text"))
     back = restore_tokens(
         units.where(f"not ({T.is_blank('text')})"),
         "text", token_map, ["group_id"], ["doc_seq", "unit_no"], "restored_text",
@@ -214,26 +215,40 @@ def changed(value: Column, changes: Column) -> Column:
     return F.coalesce(F.element_at(changes, value), value)
 
 
+def _strings(df: DataFrame, columns: Sequence[str]) -> Column:
+    """The strings of some columns of a row, nested ones included; numbers as text."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    numbers = {c for c in columns if not leaves.holds_strings(kinds[c])}
+
+    def of(c: str) -> Column:
+        if c in numbers:
+            return F.filter(F.array(F.col(c).cast("string")), lambda x: x.isNotNull())
+        return leaves.strings_of(kinds[c], F.col(c))
+
+    return F.concat(*[of(c) for c in columns]) if columns else F.array().cast("array<string>")
+
+
 def mask_table(
     df: DataFrame, seq: str, group: str | None = None, columns: Sequence[str] | None = None, **options
 ) -> tuple[DataFrame, MaskResult]:
-    """Mask every string column, and numbers under a sensitive header as text.
+    """Mask every string of a table, and numbers under a sensitive header as text.
 
-    A numeric column that is masked comes back as string.
+    Strings inside structs, arrays and maps are masked where they are; keys of maps and the
+    names of fields stay. A numeric column that is masked comes back as string.
     """
     chosen = list(columns or maskable_columns(df, keep=(seq, group)))
-    leaves = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in chosen])
-    kept = [c for c in df.columns]
-    rows, result = mask_rows(df, leaves, seq, group, **options)
-    numeric = {f.name for f in df.schema.fields if f.dataType.typeName() != "string"}
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    rows, result = mask_rows(df, _strings(df, chosen), seq, group, **options)
 
     def cell(name: str) -> Column:
         if name not in chosen:
             return F.col(name)
+        if leaves.holds_strings(kinds[name]):
+            return leaves.with_changes(kinds[name], F.col(name), F.col("changes")).alias(name)
         masked = changed(F.col(name).cast("string"), F.col("changes"))
-        return (T.numeric_round_trip(masked) if name in numeric else masked).alias(name)
+        return T.numeric_round_trip(masked).alias(name)
 
-    return rows.select(*[cell(c) for c in kept]), result
+    return rows.select(*[cell(c) for c in df.columns]), result
 
 
 def maskable_columns(df: DataFrame, keep: Sequence[str | None] = ()) -> list[str]:
@@ -243,7 +258,7 @@ def maskable_columns(df: DataFrame, keep: Sequence[str | None] = ()) -> list[str
         for f in df.schema.fields
         if f.name not in keep
         and (
-            f.dataType.typeName() == "string"
+            leaves.holds_strings(f.dataType)
             or (f.dataType.typeName() in numbers and T.is_sensitive_header(f.name))
         )
     ]
@@ -252,26 +267,29 @@ def maskable_columns(df: DataFrame, keep: Sequence[str | None] = ()) -> list[str
 def restore_table(
     df: DataFrame, seq: str, token_map: DataFrame, group: str | None = None
 ) -> DataFrame:
-    chosen = [
-        f.name
-        for f in df.schema.fields
-        if f.dataType.typeName() == "string" and f.name not in (seq, group)
-    ]
-    leaves = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in chosen])
-    rows = restore_rows(df, leaves, seq, token_map, group)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    chosen = [c for c in df.columns if leaves.holds_strings(kinds[c]) and c not in (seq, group)]
+    rows = restore_rows(df, _strings(df, chosen), seq, token_map, group)
     return rows.select(
-        *[changed(F.col(c), F.col("changes")).alias(c) if c in chosen else F.col(c) for c in df.columns]
+        *[
+            leaves.with_changes(kinds[c], F.col(c), F.col("changes")).alias(c) if c in chosen else F.col(c)
+            for c in df.columns
+        ]
     )
 
 
 def restore(
-    df: DataFrame, text: str, ids: str, table: DataFrame, secret: str, key: Sequence[str]
+    df: DataFrame, text: str, ids: str, table: DataFrame, secret: str, key: Sequence[str],
+    now: Column | None = None, ttl_hours: int | None = Sess.TTL_HOURS,
 ) -> DataFrame:
     """Restore texts by the identifier list each one carries.
 
     Adds restored_text, status (404 where no identifier is known; the text is
-    then left alone).
+    then left alone). Sessions that are older than ``ttl_hours`` at ``now`` (the current
+    time) are not known any more; with None they never end.
     """
+    if ttl_hours is not None:
+        table = Sess.live(table, F.current_timestamp() if now is None else now, ttl_hours)
     asked = df.withColumn("ids", F.col(ids))
     requests = asked.select("ids")
     token_map = Sess.resolved_map(requests, "ids", table, secret)

@@ -23,6 +23,7 @@ from veilframe.streaming import jobs as streaming
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 SECRET = "a secret for the queries"
+_TTL_NOW = "1998-06-01 12:00:00"
 
 
 def query(name: str, sql: str | None = None):
@@ -534,6 +535,56 @@ def fake_tokens(spark, sf):
     return faked(numbered, SECRET).select("group_id", "norm", "ty", "original", "token")
 
 
+def _stand_in_counts() -> str:
+    """group_id, ty, n of the distinct values of fake_tokens()."""
+    types = list(C.TEMPLATES)
+    every = " UNION ALL ".join(
+        f"SELECT 'g' || (k % 7) AS group_id, lower(trim(v)) AS norm, '{ty}' AS ty, k AS a, {i} AS b, -st AS c "
+        f"FROM ({oracle.matches(C.typed_texts(ty), ty, 'k')})"
+        for i, ty in enumerate(types)
+    )
+    return (
+        "SELECT group_id, ty, count(*) AS n FROM (SELECT group_id, norm, arg_min(ty, {'a': a, 'b': b, 'c': c}) AS ty "
+        f"FROM ({every}) GROUP BY group_id, norm) GROUP BY group_id, ty"
+    )
+
+
+@query(
+    "stand_in_forms",
+    f"SELECT group_id, ty, n AS entities, n AS tokens, n AS well_formed, 0::BIGINT AS originals FROM ({_stand_in_counts()})",
+)
+def stand_in_forms(spark, sf):
+    """Per group and type: values, different stand-ins, those of the type's form, and those that are an original."""
+    made = staged(fake_tokens(spark, sf), "fakes")
+    originals = made.select("group_id", F.col("norm").alias("key")).withColumn("own", F.lit(1))
+    met = made.withColumn("key", F.expr(T.norm("token"))).join(originals, ["group_id", "key"], "left")
+
+    def shape(value: str):
+        return F.regexp_replace(F.regexp_replace(value, "[0-9]", "#"), r"\p{L}", "@")
+
+    formed = F.col("ty").startswith("VEHICLE_") & (shape("token") == shape("original"))
+    for ty in C.TEMPLATES:
+        # Any other stand-in is found by the pattern that finds the type.
+        if not ty.startswith("VEHICLE_"):
+            form = _KEYWORDED.get(ty) or rf"(?U){P.BY_TYPE[ty].compiled}"
+            formed = formed | ((F.col("ty") == ty) & F.col("token").rlike(form))
+    return met.groupBy("group_id", "ty").agg(
+        F.count(F.lit(1)).alias("entities"),
+        F.count_distinct("token").alias("tokens"),
+        F.sum(formed.cast("bigint")).alias("well_formed"),
+        F.count("own").alias("originals"),
+    )
+
+
+# Patterns that need a word before the number; and the plain form of an address.
+_KEYWORDED = {
+    "INN_RU": r"^(\d{10}|\d{12})$",
+    "KPP_RU": r"^\d{9}$",
+    "OMS_RU": r"^\d{16}$",
+    "ADDRESS_RU": r"^г\. \S+, ул\. \S+, д\. \d+, кв\. \d+$",
+}
+
+
 @query("fake_collisions")
 def fake_collisions(spark, sf):
     """Stand-ins that equal an original or each other within a group: none."""
@@ -608,6 +659,23 @@ def word_level_map(spark, sf):
     return left.join(right, ["k", "at"]).where(F.length("token") > names.LONG_WORD).select("k", "token", "original")
 
 
+@query(
+    "word_level_map_of_names",
+    "SELECT k, fw AS token, ow AS original FROM (SELECT c_custkey AS k, unnest(['Ivan', 'Petrov' || c_custkey, 'Li']) AS fw, "
+    "unnest(string_split(c_name, '#') || [c_mktsegment]) AS ow FROM customer WHERE c_custkey % 3 <> 0) WHERE length(fw) > 3",
+)
+def word_level_map_of_names(spark, sf):
+    """Words of three-word stand-ins mapped to those of originals of three words; others have none."""
+    pairs = C.table(spark, sf, "customer").selectExpr(
+        "c_custkey as k",
+        "split(concat('Ivan Petrov', c_custkey, ' Li'), ' ') as f",
+        "split(concat(replace(c_name, '#', ' '), ' ', c_mktsegment, if(c_custkey % 3 = 0, ' more', '')), ' ') as o",
+    ).where("size(o) = size(f)")
+    left = pairs.select("k", F.posexplode("f").alias("at", "token"))
+    right = pairs.select("k", F.posexplode("o").alias("at", "original"))
+    return left.join(right, ["k", "at"]).where(F.length("token") > names.LONG_WORD).select("k", "token", "original")
+
+
 @query(
     "map_merge_last_wins",
     f"WITH s AS ({C.SESSIONS}), t AS ({C.SESSION_TOKENS}) SELECT s.group_id, t.token, "
@@ -828,10 +896,34 @@ def union_of_session_maps(spark, sf):
 def restore_by_identifiers(spark, sf):
     """Texts restored by the identifier list each carries; 404 where none is known."""
     wanted = C.corpus(spark, sf, C.REQUESTS).withColumn("text", F.lit("<PRIORITY_1>, known: <NOTHING_1>"))
-    back = jobs.restore(wanted, "text", "ids", _session_table(spark, sf), SECRET, ["req"])
+    back = jobs.restore(wanted, "text", "ids", _session_table(spark, sf), SECRET, ["req"], ttl_hours=None)
     return back.select("req", "ids", "restored_text", "status")
 
 
+_HOURLY_MAPS = "SELECT md5(cast(o_orderkey as string)) AS session_id, o_orderkey AS seq, o_orderkey % 240 AS age FROM orders"
+
+
+@query(
+    "restore_within_ttl",
+    "SELECT seq, CASE WHEN age <= 100 THEN 'see order ' || seq ELSE 'see <ORDER_' || seq || '>' END AS restored_text, "
+    f"CAST(CASE WHEN age <= 100 THEN 200 ELSE 404 END AS INT) AS status FROM ({_HOURLY_MAPS})",
+)
+def restore_within_ttl(spark, sf):
+    """Texts restored by sessions that are not too old; older ones are not known any more."""
+    path = fresh_path(spark, "sessions")
+    ages = C.corpus(spark, sf, _HOURLY_MAPS)
+    used = ages.selectExpr("session_id", "age", "concat('<ORDER_', seq, '>') as token", "concat('order ', seq) as original")
+    now = F.lit(_TTL_NOW).cast("timestamp")
+    made = sessions.new_sessions(
+        used, ["session_id", "age"], SECRET, session_id=F.col("session_id"),
+        created_at=now - F.make_dt_interval(hours=F.col("age").cast("int")),
+    )
+    sessions.append_sessions(made.repartition("created_date"), path)
+    texts = ages.selectExpr("seq", "session_id as ids", "concat('see <ORDER_', seq, '>') as text")
+    back = jobs.restore(texts, "text", "ids", sessions.read_sessions(spark, path), SECRET, ["seq"], now=now, ttl_hours=100)
+    return back.select("seq", "restored_text", "status")
+
+
 @query(
     "redaction_boxes",
     "WITH o AS (SELECT doc_id AS page, i - 1 AS word_no, ws[i] AS word FROM (SELECT doc_id, ws, unnest(range(1, "
@@ -1058,7 +1150,6 @@ def session_append(spark, sf):
     return _session_table(spark, sf).drop("entity_map_enc", "created_date")
 
 
-_TTL_NOW = "1998-06-01 12:00:00"
 # Sessions of ten days; those of the last hundred hours live.
 _HOURLY = (
     "SELECT md5(cast(o_orderkey as string)) AS session_id, o_orderkey AS seq, "
@@ -1577,6 +1668,50 @@ def table_masked(spark, sf):
     return masked.drop("group_id")
 
 
+_NESTED_UNITS = (
+    "SELECT cast(c_nationkey as string) AS group_id, c_custkey AS doc_seq, 0 AS unit_no, c_name AS text FROM customer "
+    f"UNION ALL SELECT cast(c_nationkey as string), c_custkey, 1, {C._CLIENT} FROM customer "
+    "UNION ALL SELECT cast(c_nationkey as string), c_custkey, 2, concat('ИНН ', cast(7800000000 + c_custkey as string)) FROM customer"
+)
+
+
+def _nested(spark, sf) -> DataFrame:
+    """A table with strings in a struct, an array of structs and a map, and a long number under a sensitive header."""
+    return C.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("k"),
+        F.col("c_nationkey").cast("string").alias("group_id"),
+        F.struct(F.col("c_name").alias("name"), F.lit(5).alias("n")).alias("who"),
+        F.array(F.struct(F.expr(C._CLIENT).alias("note")), F.struct(F.lit(None).cast("string").alias("note"))).alias("notes"),
+        F.create_map(F.lit("ИНН 7800000000"), F.expr("concat('ИНН ', cast(7800000000 + c_custkey as string))")).alias("tags"),
+        F.expr("cast(9007199254740993 as decimal(38,0))").alias("bonus"),
+    )
+
+
+@query(
+    "table_nested_masked",
+    f"WITH m AS (SELECT * FROM ({oracle.masked(_NESTED_UNITS, oracle.RU_TYPES)})) SELECT a.doc_seq AS k, a.masked_text AS name, "
+    "5 AS n, b.masked_text AS note, 'ИНН 7800000000' AS tag_key, c.masked_text AS tag, '9007199254740993' AS bonus FROM m a "
+    "JOIN m b ON a.doc_seq = b.doc_seq AND a.unit_no = 0 AND b.unit_no = 1 JOIN m c ON a.doc_seq = c.doc_seq AND c.unit_no = 2",
+)
+def table_nested_masked(spark, sf):
+    """Strings inside structs, arrays and maps; keys and other values stay, no digit is lost."""
+    masked, _ = jobs.mask_table(_nested(spark, sf), "k", "group_id", lang="ru")
+    return masked.select(
+        "k", "who.name", "who.n", F.col("notes")[0]["note"].alias("note"), F.map_keys("tags")[0].alias("tag_key"),
+        F.map_values("tags")[0].alias("tag"), "bonus",
+    )
+
+
+@query(
+    "table_nested_restored",
+    f"SELECT c_custkey AS k, c_name AS name, {C._CLIENT} AS note, 'ИНН ' || (7800000000 + c_custkey) AS tag FROM customer",
+)
+def table_nested_restored(spark, sf):
+    masked, done = jobs.mask_table(_nested(spark, sf), "k", "group_id", lang="ru")
+    back = jobs.restore_table(staged(masked, "table"), "k", done.token_map, "group_id")
+    return back.select("k", "who.name", F.col("notes")[0]["note"].alias("note"), F.map_values("tags")[0].alias("tag"))
+
+
 @query(
     "table_restored",
     f"SELECT c_custkey AS k, c_name AS name, {C._CLIENT} AS note, c_mktsegment AS segment FROM customer",
@@ -1649,10 +1784,14 @@ def stream_masking(spark, sf):
 
 @query(
     "stream_sessions_and_audit",
-    "SELECT 'sessions' AS kind, CAST(count(*) AS BIGINT) AS written FROM customer UNION ALL "
-    "SELECT 'audit', CAST(count(*) AS BIGINT) FROM customer",
+    "WITH m AS (SELECT group_id, doc_seq, map_size, masked_text FROM "
+    f"({oracle.masked(C.RU_CLIENTS, oracle.RU_TYPES)})) "
+    "SELECT 'session' AS kind, group_id AS who, CAST(map_size AS BIGINT) AS hidden, NULL AS preview FROM m UNION ALL "
+    "SELECT 'audit', group_id || '...', map_size, CASE WHEN length(masked_text) > 150 THEN substr(masked_text, 1, 150) || '...' "
+    "ELSE masked_text END FROM m",
 )
 def stream_sessions_and_audit(spark, sf):
+    """Sessions and audit lines of a stream, batch by batch."""
     rows = C.corpus(spark, sf, C.RU_CLIENTS)
     out = fresh_path(spark, "stream-out")
     _finish(
@@ -1661,9 +1800,19 @@ def stream_sessions_and_audit(spark, sf):
             sessions=f"{out}/sessions", audits=f"{out}/audit",
         )
     )
-    made = sessions.read_sessions(spark, f"{out}/sessions").select(F.lit("sessions").alias("kind"))
-    lines = spark.read.schema("action string").json(f"{out}/audit").select(F.lit("audit").alias("kind"))
-    return made.unionByName(lines).groupBy("kind").agg(F.count(F.lit(1)).alias("written"))
+    made = sinks.read_batches(spark, f"{out}/sessions", sessions.SCHEMA).select(
+        F.lit("session").alias("kind"), F.col("group_id").alias("who"),
+        F.col("entities_count").cast("bigint").alias("hidden"), F.lit(None).cast("string").alias("preview"),
+    )
+    lines = sinks.read_batches(
+        spark, f"{out}/audit", "token string, hidden_entities_count bigint, original_text_preview string", "json"
+    )
+    return made.unionByName(
+        lines.select(
+            F.lit("audit").alias("kind"), F.col("token").alias("who"), F.col("hidden_entities_count").alias("hidden"),
+            F.col("original_text_preview").alias("preview"),
+        )
+    )
 
 
 @query("stream_group_expiry")
@@ -1840,3 +1989,58 @@ def answer_reused(spark, sf):
     )
     best = retrieval.top(scored.where("score >= 0.2"), 1, "vec_id")
     return best.select("vec_id", F.round("score", 6).alias("score"))
+
+
+_PAIRS = (
+    "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), "
+    "u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v), "
+    "p AS (SELECT q.vec_id AS question, u.vec_id, round(list_sum(list_transform(range(1, len(q.e) + 1), "
+    "lambda i: q.e[i] * u.e[i])), 12) AS score FROM u q JOIN u ON q.vec_id <> u.vec_id WHERE q.vec_id % {every} = 0) "
+)
+
+
+@query(
+    "dense_retrieval_many",
+    _PAIRS.format(every=20)
+    + "SELECT question, vec_id, CAST(rank AS INT) AS rank, round(score, 9) AS score FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY question ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 10",
+)
+def dense_retrieval_many(spark, sf):
+    """The ten vectors most like each question of a table."""
+    vectors = C.table(spark, sf, "embeddings")
+    found = retrieval.nearest(vectors.where("vec_id % 20 = 0"), vectors, 10)
+    return found.withColumn("score", F.round("score", 9))
+
+
+@query(
+    "answers_reused",
+    _PAIRS.format(every=1)
+    + "SELECT question, vec_id, CAST(1 AS INT) AS rank, round(score, 9) AS score FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY question ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank = 1 AND score >= 0.3",
+)
+def answers_reused(spark, sf):
+    """For every question of the table the most similar other one, if it is similar enough."""
+    vectors = C.table(spark, sf, "embeddings")
+    found = retrieval.nearest(vectors, vectors, 1, least=0.3)
+    return found.withColumn("score", F.round("score", 9))
+
+
+@query(
+    "lexical_retrieval_many",
+    "WITH q AS (SELECT item_id AS question, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')[1:5])) AS term "
+    "FROM benchmark), w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents), "
+    "s AS (SELECT count(*) AS n, avg(len(ws)) AS a FROM w), "
+    "t AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM w) GROUP BY ALL), "
+    "f AS (SELECT term, count(*) AS df FROM t GROUP BY term), "
+    "r AS (SELECT question, doc_id AS doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / "
+    "(tf + 1.2 * (0.25 + 0.75 * dl / a))), 9) AS score FROM q JOIN t USING (term) JOIN f USING (term), s GROUP BY ALL) "
+    "SELECT question, doc, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY question ORDER BY score DESC, doc) AS rank FROM r) WHERE rank <= 10",
+)
+def lexical_retrieval_many(spark, sf):
+    """The ten best documents for each of many questions, from a written index."""
+    path = fresh_path(spark, "index")
+    retrieval.write_index(C.table(spark, sf, "documents"), path)
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(retrieval.TOKEN), F.lit(0)), 1, 5)
+    asked = C.table(spark, sf, "benchmark").select(F.col("item_id").alias("question"), words.alias("terms"))
+    return retrieval.bm25_many(asked, path).withColumn("score", F.round("score", 6))

@@ -17,6 +17,17 @@ def _empty() -> Column:
     return F.array().cast(_NONE)
 
 
+def holds_strings(kind: T.DataType) -> bool:
+    """Can there be a string to mask in a value of this type?"""
+    if isinstance(kind, T.StructType):
+        return any(holds_strings(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return holds_strings(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return holds_strings(kind.valueType)
+    return isinstance(kind, T.StringType)
+
+
 def strings_of(kind: T.DataType, value: Column) -> Column:
     """All strings below ``value`` in document order, as one array."""
     if isinstance(kind, T.StringType):

@@ -72,8 +72,10 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def live(table: DataFrame, now: Column, ttl_hours: int = TTL_HOURS) -> DataFrame:
-    """Sessions within their time to live; expired ones are not read."""
-    return table.where(F.col("created_at") >= now - F.make_dt_interval(hours=F.lit(ttl_hours)))
+    """Sessions within their time to live; whole days and years before it are not read."""
+    limit = now - F.make_dt_interval(hours=F.lit(ttl_hours))
+    # A table may be partitioned by days or by anything up to a year that holds them.
+    return table.where((F.col("created_at") >= limit) & (F.col("created_date") >= F.trunc(F.to_date(limit), "year")))
 
 
 def expire(spark: SparkSession, path: str, now: Column, ttl_hours: int = TTL_HOURS) -> DataFrame:
@@ -169,9 +171,13 @@ def resolve_status(requests: DataFrame, ids: str, table: DataFrame) -> DataFrame
 
 
 def resolved_map(requests: DataFrame, ids: str, table: DataFrame, secret: str) -> DataFrame:
-    """The merged map of each identifier list: ids, token, original."""
+    """The merged map of each identifier list: ids, token, original.
+
+    Only the maps of sessions that a list asks for are decrypted, each of them once.
+    """
     hits = resolve(requests, ids, table).where(F.col("session_id").isNotNull())
-    tokens = tokens_of(table, secret).drop("group_id")
+    asked = table.join(hits.select("session_id").distinct(), "session_id", "left_semi")
+    tokens = tokens_of(asked, secret).drop("group_id")
     return last_written(
         hits.join(tokens, "session_id"), ["ids"], ["at", "created_at", "session_id"]
     )

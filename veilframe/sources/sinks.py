@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from veilframe.functions.crypto import key_of
 
@@ -39,6 +40,26 @@ def append_audit(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
+def write_batch(rows: DataFrame, path: str, batch: str, kind: str = "parquet") -> None:
+    """Write the rows of one batch of a stream as a folder of its own.
+
+    A batch that is repeated replaces what it wrote before; a batch that was not written to
+    its end has no mark and is not read.
+    """
+    rows.write.mode("overwrite").format(kind).save(f"{path}/batch={batch}")
+
+
+def read_batches(spark: SparkSession, path: str, schema: StructType | str, kind: str = "parquet") -> DataFrame:
+    """The rows of all batches that were written to their end."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = fs.listStatus(folder) if fs.exists(folder) else []
+    mark = spark._jvm.org.apache.hadoop.fs.Path
+    whole = [s.getPath().toString() for s in listed if fs.exists(mark(s.getPath(), "_SUCCESS"))]
+    reader = spark.read.schema(schema).format(kind)
+    return reader.load(whole) if whole else spark.createDataFrame([], schema)
+
+
 def append_entities(entities: DataFrame, path: str, secret: str) -> None:
     """Add new entities of a run; originals are stored encrypted only."""
     sealed = F.aes_encrypt(F.col("original").cast("binary"), key_of(secret), F.lit("GCM"))

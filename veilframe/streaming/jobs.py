@@ -11,8 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from veilframe.operators import detect as D
 from veilframe.operators.restoring import restore_tokens
 from veilframe.plans.jobs import audit, mask
-from veilframe.sources.sessions import append_sessions, new_sessions
-from veilframe.sources.sinks import append_audit
+from veilframe.sources.sessions import new_sessions
+from veilframe.sources.sinks import write_batch
 
 
 def hits(
@@ -73,10 +73,8 @@ def _replace_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     ).partitionBy("batch_id").parquet(path)
 
 
-def masked_stream(
-    stream: DataFrame,
+def mask_batches(
     out: str,
-    checkpoint: str,
     text: str = "text",
     seq: str = "doc_seq",
     group: str = "group_id",
@@ -86,13 +84,14 @@ def masked_stream(
     audits: str | None = None,
     secret: str | None = None,
     **options,
-) -> StreamingQuery:
-    """Mask a stream with tokens that stay the same from batch to batch.
+) -> Callable[[DataFrame, int], None]:
+    """What is done with each batch of a stream to mask it.
 
     The state is the entity table ``out``/entities: each batch looks its values
     up there and appends what is new. It is joined and numbered like any table,
-    so one busy group does not sit in a single task. Batches may be repeated.
-    With ``at`` and ``ttl`` (such as ``24 hours``) a group's values are forgotten
+    so one busy group does not sit in a single task. A repeated batch replaces all it
+    wrote: masked texts, entities, and its folders below ``sessions`` and ``audits``, which
+    read_batches() reads. With ``at`` and ``ttl`` (such as ``24 hours``) a group's values are forgotten
     once they are that much older than the batch.
     """
 
@@ -123,12 +122,17 @@ def masked_stream(
                 result.used, ["group_id", "doc_seq"], secret, group_id=F.col("group_id"),
                 session_id=F.sha2(F.concat_ws(":", "group_id", "doc_seq"), 256),
             )
-            append_sessions(rows, sessions)
+            write_batch(rows, sessions, str(batch_id))
         if audits is not None:
             users = result.masked.withColumn("user_token", F.col("group_id"))
-            append_audit(audit(users, result.used, ["group_id", "doc_seq", "unit_no"]), audits)
+            write_batch(audit(users, result.used, ["group_id", "doc_seq", "unit_no"]), audits, str(batch_id), "json")
 
-    return in_batches(stream, work, checkpoint)
+    return work
+
+
+def masked_stream(stream: DataFrame, out: str, checkpoint: str, **options) -> StreamingQuery:
+    """Mask a stream with tokens that stay the same from batch to batch; see mask_batches()."""
+    return in_batches(stream, mask_batches(out, **options), checkpoint)
 
 
 def late_to_quarantine(
