@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import fresh_path, staged
 
 SAMPLES = 64
+SAMPLE_BLOCK = 16
 # A third of the rows may be copies of one row; they are given out in pieces of this many.
 PIECE = 1_000
 
@@ -26,10 +27,10 @@ def _unit(bits: Column, width: int) -> Column:
     return (bits.bitwiseAND(F.lit((1 << width) - 1)).cast("double") + 0.5) / float(1 << width)
 
 
-def _score(term: Column, log_weight: Column, k: int) -> Column:
-    """What sample k says of a term; the smallest over a text is taken."""
-    one = F.xxhash64(term, F.lit(2 * k))
-    two = F.xxhash64(term, F.lit(2 * k + 1))
+def _score(term: Column, log_weight: Column, block: Column, j: int) -> Column:
+    """What sample j of a block says of a term; the smallest over a text is taken."""
+    one = F.xxhash64(term, block, F.lit(2 * j))
+    two = F.xxhash64(term, block, F.lit(2 * j + 1))
     r = -F.log(_unit(one, 32) * _unit(F.shiftrightunsigned(one, 32), 32))
     c = -F.log(_unit(two, 21) * _unit(F.shiftrightunsigned(two, 21), 21))
     b = _unit(F.shiftrightunsigned(two, 42), 22)
@@ -44,9 +45,14 @@ def least_scores(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> D
     in several parts are the least ones of the parts.
     """
     weight = F.when(F.col("term").isNotNull() & (F.col("weight") > 0), F.log(F.col("weight").cast("double")))
-    least = [F.min(_score(F.col("term"), F.col("_log"), k)).alias(f"_{k}") for k in range(samples)]
-    best = terms.select(*keys, "term", weight.alias("_log")).groupBy(*keys).agg(*least)
-    return best.select(*keys, F.array(*[F.col(f"_{k}") for k in range(samples)]).alias("scores"))
+    # Few samples at a time: the code that is generated for many is too long to be compiled well.
+    blocks = F.array(*[F.lit(b) for b in range(-(-samples // SAMPLE_BLOCK))])
+    each = terms.select(*keys, "term", weight.alias("_log"), F.explode(blocks).alias("_block"))
+    least = [F.min(_score(F.col("term"), F.col("_log"), F.col("_block"), j)).alias(f"_{j}") for j in range(SAMPLE_BLOCK)]
+    best = each.groupBy(*keys, "_block").agg(*least)
+    parts = best.select(*keys, F.struct("_block", F.array(*[F.col(f"_{j}") for j in range(SAMPLE_BLOCK)]).alias("s")).alias("_part"))
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list("_part")), lambda p: p["s"]))
+    return parts.groupBy(*keys).agg(F.slice(whole, 1, samples).alias("scores"))
 
 
 def fingerprint(scores: Column) -> Column:
@@ -184,9 +190,12 @@ def fingerprints_of_edits(docs: DataFrame, key: str = "doc_id", text: str = "tex
         F.when(F.col("_copies") > 1, F.concat(kept, F.substring("_text", F.lit(1), half))).alias("_2"),
     )
     # 0: the text itself, 1: edited with the next document's, 2: with its own, where it follows itself.
-    which = F.array(*[F.struct(F.lit(i).alias("_which"), F.col(f"_{i}").alias("_text")) for i in range(3)])
+    variants = 2 if ring.where("_copies > 1").isEmpty() else 3
+    which = F.array(*[F.struct(F.lit(i).alias("_which"), F.col(f"_{i}").alias("_text")) for i in range(variants)])
     each = edited.select(*OWN, F.inline(F.filter(which, lambda x: x["_text"].isNotNull())))
-    printed = variant_samples(each, OWN, 3, samples)
+    printed = variant_samples(each, OWN, variants, samples)
+    if variants == 2:
+        printed = printed.withColumn("_print2", F.lit(None).cast("binary"))
     facts = edited.select(
         *OWN,
         "_id",
@@ -194,7 +203,7 @@ def fingerprints_of_edits(docs: DataFrame, key: str = "doc_id", text: str = "tex
         F.unhex(F.sha2("_1", 256)).alias("_sha1"),
         F.unhex(F.sha2("_2", 256)).alias("_sha2"),
     )
-    done = staged(printed.join(facts, OWN), "fingerprints")
+    done = staged(printed.join(facts, OWN), "fingerprints", tidy=True)
 
     result = done.join(of_next(done, "_copies", F.col("_print0").alias("_print3")), OWN)
     # One row is followed by the next document, the copies before it by one another.
