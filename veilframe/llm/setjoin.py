@@ -490,6 +490,7 @@ def search(docs: DataFrame, k: int, pairs: DataFrame, classes: DataFrame) -> Dat
     links, _ = written(groups.mapInArrow(run, "q binary, d binary, overlap long"), "links")
     drop_path(spark, pairs_path)
     drop_path(spark, sets_path)
+    bits.destroy()
     return links
 
 
@@ -584,6 +585,7 @@ def jaccard_links(docs: DataFrame, k: int = WORDS, doc_id: str = "doc_id", text:
         F.col("head").alias("q"), F.col("key").alias("d"), F.col("head_n").alias("nq")
     )
     first = search(source, k, likely, texts)
+    frequent.destroy()
     found = components(first)
 
     # Lists that still hold several components. Most hold one, and are left before anything else is joined.
