@@ -1549,7 +1549,7 @@ def container_members_masked(spark, sf):
     notes = C.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.expr(C._CLIENT).alias("note"))
     members = F.create_map(*[x for name, sql in _MEMBERS.items() for x in (F.lit(name), F.expr(sql))])
     packed = notes.select(F.concat(F.lit("/in/"), "k", F.lit(".zip")).alias("path"), members.alias("members"))
-    packed = packed.mapInPandas(_zipped_members, "path string, content binary")
+    packed = spread(packed).mapInPandas(_zipped_members, "path string, content binary")
     rows, _ = readers.read_members(packed)
     rows = rows.withColumn("k", F.regexp_extract("path", r"(\d+)\.zip$", 1).cast("bigint"))
     # Rows of an archive in any order: the numbers of tokens are left out below.
