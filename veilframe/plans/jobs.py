@@ -202,11 +202,12 @@ def restore_rows(
 
 
 def _with_changes(rows: DataFrame, units: DataFrame, new: str) -> DataFrame:
-    pairs = F.collect_list(F.struct(F.col("text").alias("key"), F.col(new).alias("value")))
+    # A set, as telling the pairs of a list apart compares each with all before it.
+    pairs = F.collect_set(F.struct(F.col("text").alias("key"), F.col(new).alias("value")))
     changes = (
         units.where(F.col(new) != F.col("text"))
         .groupBy("group_id", "doc_seq")
-        .agg(F.map_from_entries(F.array_distinct(pairs)).alias("changes"))
+        .agg(F.map_from_entries(pairs).alias("changes"))
     )
     return rows.join(changes, ["group_id", "doc_seq"], "left")
 
