@@ -402,7 +402,7 @@ def find_all_with_offsets(spark, sf):
 )
 def overlaps_resolved(spark, sf):
     kept = F.expr(S.resolve_overlaps(detect.raw_spans("text", P.RU)))
-    texts = C.corpus(spark, sf, C.RU_CLIENTS)
+    texts = spread(C.corpus(spark, sf, C.RU_CLIENTS))
     return texts.select("doc_seq", F.explode(kept).alias("s")).select("doc_seq", "s.st", "s.ln", "s.ty", "s.v")
 
 
