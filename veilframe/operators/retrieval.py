@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.operators.entities import with_ordinals
+from veilframe.functions.text import let
 from veilframe.shared import staged
 
 TOKEN = "[a-z0-9]+"
@@ -188,29 +190,73 @@ def _words(text: str) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def _counted(words: str) -> str:
+    """The different words of an array with how often each is there, found in the row: equal words stand together once sorted."""
+    starts = "filter(sequence(0, size(s) - 1), i -> i = 0 or s[i] <> s[i - 1])"
+    each = "transform(p, (at, j) -> named_struct('term', s[at], 'tf', coalesce(get(p, j + 1), size(s)) - at))"
+    return f"if(size({words}) > 0, {let(f'sort_array({words})', 's', let(starts, 'p', each))}, null)"
+
+
+def _blocks(avgdl: float, size: int):
+    """A function that makes blocks of postings (term, doc, dl, tf) in the order of these columns."""
+
+    def run(batches):
+        held = None
+        for batch in chain(batches, [None]):
+            if batch is None and held is None:
+                return
+            columns = held if batch is None else (batch.column(0), *(c.to_numpy() for c in batch.columns[1:]))
+            if not len(columns[0]):
+                continue
+            if held is not None and batch is not None:
+                columns = (pa.concat_arrays([held[0], columns[0]]), *map(np.concatenate, zip(held[1:], columns[1:], strict=True)))
+            term, doc, dl, tf = columns
+            other = np.r_[True, pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False)]
+            # Rows that repeat a document are one posting.
+            new = np.flatnonzero(other | np.r_[True, (doc[1:] != doc[:-1]) | (dl[1:] != dl[:-1])])
+            tf = np.add.reduceat(tf, new)
+            term, doc, dl, other = term.take(pa.array(new)), doc[new], dl[new], other[new]
+            held = None
+            if batch is not None:  # the last posting may go on in the next batch
+                held = (term[-1:], doc[-1:], dl[-1:], tf[-1:])
+                term, doc, dl, tf, other = term[:-1], doc[:-1], dl[:-1], tf[:-1], other[:-1]
+            if not len(doc):
+                continue
+            weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+            at = np.arange(len(doc))
+            begin = np.flatnonzero((at - np.maximum.accumulate(np.where(other, at, 0))) % size == 0)
+            postings = pa.StructArray.from_arrays([pa.array(doc), pa.array(weight)], ["doc", "weight"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    term.take(pa.array(begin)),
+                    pa.array(np.maximum.reduceat(weight, begin)),
+                    pa.ListArray.from_arrays(pa.array(np.r_[begin, len(doc)].astype(np.int32)), postings),
+                ],
+                ["term", "most", "postings"],
+            )
+
+    return run
+
+
 def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
     """An inverted index for bm25_many(): ``path``/blocks and ``path``/terms.
 
     A block has up to 128 postings of a term in the order of their documents (whole numbers,
     not negative) and the largest weight among them; blocks are sorted by term, so a reader is led
     to its files by their statistics. ``terms`` has the frequency of each term and its
-    largest weights.
+    largest weights. Words are counted inside the row, and the postings move once, by ranges of term
+    and document, so a frequent term is spread over many tasks.
     """
     spark = docs.sparkSession
     counted = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), _words(text).alias("w"))
     sizes = counted.select("doc", F.size("w").alias("dl"), "w")
     n, avgdl = sizes.where("dl >= 0").agg(F.count(F.lit(1)), F.avg("dl")).first()
-    each = sizes.select("doc", "dl", F.explode("w").alias("term")).groupBy("doc", "dl", "term").agg(
-        F.count(F.lit(1)).cast("int").alias("tf")
-    )
-    length = 1 - B + B * F.col("dl") / F.lit(float(avgdl or 1.0))
-    weighted = staged(each.select("term", "doc", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)).alias("weight")), "postings")
-    placed = with_ordinals(weighted, ["term"], "doc", [], "at")
-    blocks = placed.groupBy("term", F.expr(f"(at - 1) div {POSTINGS}").alias("block")).agg(
-        F.max("weight").alias("most"),
-        F.array_sort(F.collect_list(F.struct("doc", "weight"))).alias("postings"),
+    each = sizes.select("doc", "dl", F.explode(F.expr(_counted("w"))).alias("t")).select("t.term", "doc", "dl", "t.tf")
+    order = ["term", "doc", "dl"]
+    blocks = each.repartitionByRange("term", "doc").sortWithinPartitions(*order).mapInArrow(
+        _blocks(float(avgdl or 1.0), POSTINGS), "term string, most double, postings array<struct<doc:bigint,weight:double>>"
     )
-    blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/blocks")
+    blocks.write.parquet(f"{path}/blocks")
     # The best weights of each block are enough to find those of the term.
     best = spark.read.parquet(f"{path}/blocks").select(
         "term",
@@ -250,6 +296,8 @@ def bm25_many(questions: DataFrame, path: str, k: int = 10, places: int = 9) ->
         # What a block must hold itself; a little less, as sums are rounded.
         ((F.col("reached") - F.col("all")) / F.col("idf") + F.col("best")[0] - 1e-9).alias("least"),
     )
+    # Written, so its size is known: words of few questions are told to all tasks, and no block moves.
+    wanted = staged(wanted, "wanted")
     blocks = spark.read.parquet(f"{path}/blocks")
     left = blocks.join(wanted, "term").where(F.col("most") >= F.col("least"))
     scored = left.select("question", "idf", F.explode("postings").alias("p")).groupBy("question", F.col("p.doc").alias("doc")).agg(
