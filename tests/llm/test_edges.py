@@ -1,5 +1,9 @@
 """Nulls, empty texts, repeated rows, extra columns and empty tables."""
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from veilframe.llm import ann, chat, decontaminate, html, licenses, mixing, pii, setjoin, warc
@@ -61,3 +65,46 @@ def test_turns(spark):
     found = {r.conv_id: r for r in chat.digests(blocks).collect()}
     assert (found[1].n_turns, found[1].loss_chars) == (2, len("<|im_end|>\\ <\\| <"))
     assert (found[None].n_turns, found[None].loss_chars) == (2, len("\n\nÉ 👍🏽\n"))
+
+
+def test_blocks_of_conversations_are_given_out_together(spark, monkeypatch):
+    """op10: blocks leave a task many at a time, come in a few at a time, and say the same however they are cut."""
+    rows = [(i // 3, i % 3, ["user", "assistant", "assistant"][i % 3], ["hé ", "", "<|x|> 🙂🙂 ok", None][i % 4]) for i in range(60)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    made = chat.format_conversations(turns, block_turns=2)
+    given, frame = [], type(turns)
+    with monkeypatch.context() as m:
+        m.setattr(frame, "mapInArrow", lambda df, run, schema: given.append(run) or df)
+        chat.format_conversations(turns, block_turns=2)
+    batch = pa.RecordBatch.from_pydict({
+        "conv_id": [r[0] for r in rows], "block": [r[1] // 2 for r in rows], "turn": [r[1] for r in rows],
+        "role": [r[2] for r in rows], "text": [r[3] or "" for r in rows],
+    })
+    assert [b.num_rows for b in given[0](iter([batch]))] == [40]
+    found = sorted(map(tuple, chat.digests(made).collect()))
+    monkeypatch.setattr(chat, "GIVEN_OUT", 1)
+    monkeypatch.setattr(chat, "TAKEN", 1)
+    assert sorted(map(tuple, chat.digests(chat.format_conversations(turns, block_turns=2)).collect())) == found
+    want = []
+    for c in range(20):
+        texts = [(r, t or "") for i, _, r, t in rows if i == c]
+        said = "".join(t for r, t in texts if r == "assistant")
+        want.append((
+            c, 3, hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in texts).encode()).hexdigest(),
+            len(said), hashlib.sha256(said.encode()).hexdigest(),
+        ))
+    assert [x[:5] for x in found] == want
+
+
+def test_shares_of_tokens_are_those_of_one_by_one():
+    """op10: tokens and answers are intersected at once; several tokens may lie in one character."""
+    starts, ends = np.array([0, 3, 3, 4, 6, 9]), np.array([3, 4, 4, 6, 9, 12])
+    spans = [(1, 4), (5, 5), (7, 20)]
+    want, clear = [], [0, 3, 4, 4, 6, 9]
+    for a, b in spans:
+        for t in range(6):
+            if ends[t] > a and starts[t] < b:
+                begin = max(a, clear[t])
+                want.append([t, begin, max(min(b, int(ends[t])), begin)])
+    assert chat.intersect(spans, starts, ends).tolist() == want
+    assert chat.intersect([], starts, ends).shape == chat.intersect([(0, 1)], starts[:0], ends[:0]).shape == (0, 3)

@@ -24,6 +24,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BLOCK_TURNS = 64
+# Characters of blocks that are given out together, and rows that are taken in together.
+GIVEN_OUT, TAKEN = 256 * 1024, 256
 LEARNED = ("assistant",)
 
 RENDERED = (
@@ -76,22 +79,22 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def intersect(spans, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
-    """(token, start, end): each token's share of each span, both in order.
+def intersect(spans, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Rows of token, start, end: each token's share of each span, both in order.
 
     Several tokens may lie within one character; the first of them has it.
     """
-    if not len(starts):
-        return []
+    if not len(starts) or not len(spans):
+        return np.zeros((0, 3), dtype=np.int64)
     # What tokens before have covered is not covered again.
     clear = np.maximum(starts, np.r_[0, np.maximum.accumulate(ends)[:-1]])
-    out = []
-    for a, b in spans:
-        low = int(np.searchsorted(ends, a, side="right"))
-        high = int(np.searchsorted(starts, b, side="left"))
-        for t in range(low, high):
-            out.append((t, max(a, int(clear[t])), max(min(b, int(ends[t])), a, int(clear[t]))))
-    return out
+    a, b = np.array(spans, dtype=np.int64).T
+    low = np.searchsorted(ends, a, side="right")
+    count = np.maximum(np.searchsorted(starts, b, side="left") - low, 0)
+    a, b = np.repeat(a, count), np.repeat(b, count)
+    t = np.arange(count.sum()) + np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count)
+    begin = np.maximum(a, clear[t])
+    return np.stack([t, begin, np.maximum(np.minimum(b, ends[t]), begin)], axis=1)
 
 
 def encoder(spec: str):
@@ -105,8 +108,22 @@ def encoder(spec: str):
 
 
 def _rows(batches):
+    """The rows of all batches, of which a few at a time are Python values."""
     for batch in batches:
-        yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+        for at in range(0, batch.num_rows, TAKEN):
+            yield from zip(*[c.to_pylist() for c in batch.slice(at, TAKEN).columns], strict=True)
+
+
+def _offsets(arrays) -> pa.Array:
+    return pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32())
+
+
+def list_sizes(lists: pa.Array) -> np.ndarray:
+    return pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _lists(arrays) -> pa.Array:
+    return pa.ListArray.from_arrays(_offsets(arrays), pa.array(np.concatenate(arrays)))
 
 
 def format_conversations(
@@ -144,7 +161,7 @@ def format_conversations(
             coded = tok.encode(formatted, add_special_tokens=False)
             offsets = np.array(coded.offsets, dtype=np.int64).reshape(-1, 2)
             loss = intersect(spans, offsets[:, 0], offsets[:, 1])
-            return (*key, formatted, coded.ids, offsets[:, 1].tolist(), loss)
+            return (*key, formatted, np.array(coded.ids, dtype=np.int32), offsets[:, 1].astype(np.int32), loss)
 
         def blocks():
             key, held = None, []
@@ -157,14 +174,25 @@ def format_conversations(
             if held:
                 yield done(key, held)
 
-        share = pa.struct([("token", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-        kinds = [None, pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(share)]
-        names = ["conv_id", "block", "formatted", "token_ids", "token_ends", "loss"]
-        kinds[0] = ID_KINDS.get(kind, pa.string())
+        def batch_of(done):
+            ids, blocks, texts, codes, ends, shares = zip(*done, strict=True)
+            loss = np.concatenate(shares).astype(np.int32)
+            struct = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in loss.T], ["token", "start", "end"])
+            columns = [
+                pa.array(ids, ID_KINDS.get(kind, pa.string())), pa.array(blocks, pa.int64()), pa.array(texts, pa.string()),
+                _lists(codes), _lists(ends), pa.ListArray.from_arrays(_offsets(shares), struct),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["conv_id", "block", "formatted", "token_ids", "token_ends", "loss"])
+
+        held, size = [], 0
         for row in blocks():
-            loss = [dict(zip(("token", "start", "end"), x, strict=True)) for x in row[5]]
-            columns = [pa.array([v], k) for v, k in zip((*row[:5], loss), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            held.append(row)
+            size += len(row[2])
+            if size >= GIVEN_OUT:
+                yield batch_of(held)
+                held, size = [], 0
+        if held:
+            yield batch_of(held)
 
     return (
         rows.repartition("conv_id", "block")
@@ -190,29 +218,33 @@ def digests(blocks: DataFrame) -> DataFrame:
 
     def read_back(batches):
         for batch in batches:
-            cols = {c: batch.column(i).to_pylist() for i, c in enumerate(batch.schema.names)}
-            turns, said, loss, count, chars, tokens, learned = [], [], [], [], [], [], []
-            for formatted, ids, shares in zip(cols["formatted"], cols["token_ids"], cols["loss"], strict=True):
-                parsed = parse(formatted)
-                turns.append("".join(f"{r}\n{t}\n" for r, t in parsed))
-                count.append(len(parsed))
-                # Shares that touch are one answer; no answer touches the next.
-                spans: list[list[int]] = []
-                for x in shares:
-                    if spans and spans[-1][1] == x["start"]:
-                        spans[-1][1] = x["end"]
-                    else:
-                        spans.append([x["start"], x["end"]])
-                loss.append("".join(unescape(formatted[a:b]) for a, b in spans))
-                chars.append(len(formatted))
-                tokens.append(len(ids))
-                learned.append(len({x["token"] for x in shares}))
-            said = [batch.column(0), batch.column(1), turns, loss, count, chars, tokens, learned]
-            kinds = [None, None, pa.string(), pa.string(), *[pa.int64()] * 4]
-            yield pa.RecordBatch.from_arrays(
-                [c if k is None else pa.array(c, k) for c, k in zip(said, kinds, strict=True)],
-                ["conv_id", "block", "turns", "loss", "n", "chars", "tokens", "learned"],
-            )
+            for at in range(0, batch.num_rows, TAKEN):
+                yield read(batch.slice(at, TAKEN))
+
+    def read(batch):
+        cols = dict(zip(batch.schema.names, batch.columns, strict=True))
+        turns, loss, count, chars, learned = [], [], [], [], []
+        shares = cols["loss"].flatten()
+        token, start, end = (shares.field(i).to_numpy() for i in range(3))
+        at = 0
+        for formatted, n in zip(cols["formatted"].to_pylist(), list_sizes(cols["loss"]).tolist(), strict=True):
+            parsed = parse(formatted)
+            turns.append("".join(f"{r}\n{t}\n" for r, t in parsed))
+            count.append(len(parsed))
+            a, b = start[at : at + n], end[at : at + n]
+            # Shares that touch are one answer; no answer touches the next.
+            cut = np.flatnonzero(a[1:] != b[:-1]) + 1
+            first, last = a[np.r_[0, cut]] if n else a, b[np.r_[cut - 1, n - 1]] if n else b
+            loss.append("".join(unescape(formatted[x:y]) for x, y in zip(first.tolist(), last.tolist(), strict=True)))
+            chars.append(len(formatted))
+            learned.append(len(np.unique(token[at : at + n])))
+            at += n
+        said = [turns, loss, count, chars, list_sizes(cols["token_ids"]), learned]
+        kinds = [pa.string(), pa.string(), *[pa.int64()] * 4]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(said, kinds, strict=True)]],
+            ["conv_id", "block", "turns", "loss", "n", "chars", "tokens", "learned"],
+        )
 
     def sums(batches):
         def row(key, s):
