@@ -1,8 +1,12 @@
 """What op2_quality and the pipeline's first stage keep, on labels that the fit has not seen."""
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from veilframe.llm import quality
 from veilframe.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.1"
@@ -27,3 +31,21 @@ def test_harmful_and_poor_rows_go_and_good_ones_stay(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     stayed = {r.doc_id for r in corpus_pipeline.good_documents(spark, docs, str(tmp_path)).select("doc_id").collect()}
     assert stayed & set(truth) == {d for d, k in keep.items() if k}
+
+
+def test_a_fit_takes_little_more_memory_than_its_features(monkeypatch):
+    """pipeline: features are gone through in pieces, with the same sums whatever their size."""
+    dice = np.random.default_rng(5)
+    n = 2_000_000
+    row = np.repeat(np.arange(n // 100, dtype=np.int32), 100)
+    bucket, value = dice.integers(0, 5_000, n).astype(np.int32), dice.random(n).astype(np.float32)
+    grade = dice.integers(0, 3, n // 100)
+    monkeypatch.setattr(quality, "ENTRIES", 10_000)
+    tracemalloc.start()
+    model = quality.fit_ordinal(row, bucket, value, grade, epochs=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * n
+    monkeypatch.setattr(quality, "ENTRIES", n)
+    whole = quality.fit_ordinal(row, bucket, value, grade, epochs=3)
+    assert (model.weights == whole.weights).all() and (model.thresholds == whole.thresholds).all()

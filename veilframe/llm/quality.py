@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ BITS = 18
 FIT_ROWS = 12_000
 # No document of the fit keeps more features than this (the most frequent ones).
 FIT_FEATURES = 2_000
+# Features of the fit that are worked on at once.
+ENTRIES = 1 << 17
 
 # Letters, capitals and digits become one sign each; other bytes stay.
 SHAPE = np.arange(256, dtype=np.uint8)
@@ -91,23 +94,26 @@ def fit_ordinal(
 ) -> OrdinalModel:
     """Maximum likelihood by Adam over all rows; thresholds rise by construction.
 
-    Rows weigh so that each grade counts as much as any other.
+    Features are gone through ENTRIES at a time, so a fit takes little more memory than they do. Rows weigh so that each grade counts as much as any other.
     """
     grades = int(grade.max()) + 1
     share = np.bincount(grade, minlength=grades)
     weight = (len(grade) / (max(1, np.count_nonzero(share)) * np.maximum(share, 1)))[grade] / len(grade)
-    w = np.zeros(1 << BITS)
     # The first threshold, then the logarithms of the gaps between them.
     t = np.r_[-1.0, np.zeros(grades - 2)]
-    state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, t)]
-    used = np.unique(bucket)
-    place = np.searchsorted(used, bucket)
+    present = np.zeros(1 << BITS, dtype=bool)
+    present[bucket] = True
+    used = np.flatnonzero(present)
+    place = (np.cumsum(present, dtype=np.int32) - 1)[bucket]
+    pieces = [slice(a, a + ENTRIES) for a in range(0, len(value), ENTRIES)]
     v = np.zeros(len(used))
-    state[0] = [np.zeros_like(v), np.zeros_like(v)]
+    state = [[np.zeros_like(x), np.zeros_like(x)] for x in (v, t)]
     one = np.arange(len(grade))
     for step in range(1, epochs + 1):
         theta = np.cumsum(np.r_[t[0], np.exp(t[1:])])
-        z = np.bincount(row, weights=value * v[place], minlength=len(grade))
+        z = np.zeros(len(grade))
+        for s in pieces:
+            np.add.at(z, row[s].astype(np.intp), value[s] * v[place[s]])
         low = np.concatenate([np.zeros((len(z), 1)), _sigmoid(theta[None, :] - z[:, None]), np.ones((len(z), 1))], 1)
         up, down = low[one, grade + 1], low[one, grade]
         p = np.maximum(up - down, 1e-12)
@@ -120,11 +126,15 @@ def fit_ordinal(
         dtheta = dtheta[1:-1]
         tail = np.cumsum(dtheta[::-1])[::-1]
         dt = np.r_[tail[0], tail[1:] * np.exp(t[1:])]
-        dv = np.bincount(place, weights=value * dz[row], minlength=len(used)) + decay * v
+        dv = np.zeros(len(used))
+        for s in pieces:
+            np.add.at(dv, place[s].astype(np.intp), value[s] * dz[row[s]])
+        dv += decay * v
         for x, g, s in ((v, dv, state[0]), (t, dt, state[1])):
             s[0] = 0.9 * s[0] + 0.1 * g
             s[1] = 0.999 * s[1] + 0.001 * g * g
             x -= rate * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.999**step)) + 1e-9) * (0.1 if x is t else 1.0)
+    w = np.zeros(1 << BITS)
     w[used] = v
     return OrdinalModel(w, np.cumsum(np.r_[t[0], np.exp(t[1:])]))
 
@@ -167,15 +177,12 @@ def fit(
     table = joined.mapInArrow(run, "grade int, bucket array<int>, value array<float>").toArrow()
     if not table.num_rows:
         raise ValueError("no rated documents to fit on")
-    table = table.combine_chunks()
-    lengths = pa.compute.list_value_length(table["bucket"]).to_numpy()
-    flat = lambda c: table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return fit_ordinal(
-        np.repeat(np.arange(table.num_rows), lengths),
-        flat("bucket").astype(np.int64),
-        flat("value").astype(np.float64),
-        table["grade"].to_numpy(),
-    )
+    lengths = pc.list_value_length(table["bucket"]).to_numpy()
+    flat = lambda c: np.concatenate([x.flatten().to_numpy() for x in table[c].chunks])
+    row, bucket, value = np.repeat(np.arange(table.num_rows, dtype=np.int32), lengths), flat("bucket"), flat("value")
+    grades = table["grade"].to_numpy()
+    del table
+    return fit_ordinal(row, bucket, value, grades)
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
