@@ -13,9 +13,12 @@ sets are one class and are compared once. The rest goes in rounds:
    short lists with a heap, probes the long ones by binary search, and keeps the
    classes that reach the overlap. Large candidate sets are searched in blocks.
 4. Rest. After the stars most lists hold one component only. In those that don't,
-   the classes outside the list's largest component are compared with the whole list
-   (lists of frequent shingles are kept in salted blocks, and these classes go to
-   every block), so no link between different components is lost.
+   signatures are compared across components, and of the pairs that remain the
+   likeliest that connect the list go to the search: fewer than the list has rows. Lists in which one
+   of them is no link, and others were left for it, are taken once more, with the components known by
+   then and with all their pairs. Lists of frequent shingles are kept in salted blocks, and
+   classes outside the list's largest component go to every block. So no link between
+   different components is lost.
 
 Components are the smallest labels that links lead to, found by repeated joins.
 
@@ -34,6 +37,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +62,8 @@ FREQUENT = 1 << 18
 CHUNK, SEEN = 1 << 21, 4
 # Classes of one list that are handled in one task.
 LIST_ROWS = 4096
+# Lists of up to so many rows are handled together, row by row at a distance.
+SHORT = 64
 # Bytes of sets that one search holds.
 SEARCH_BYTES = 16 << 20
 BINARY = pa.binary()
@@ -329,27 +335,59 @@ def bounds(table: pa.Table) -> np.ndarray:
     return np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1]), True])
 
 
+def near_rows(cut: np.ndarray):
+    """Arrays (i, j) of rows of one list, j behind i; all pairs of the lists of up to SHORT rows."""
+    size = np.diff(cut)
+    end = np.repeat(np.where(size <= SHORT, cut[1:], 0), size)
+    i = np.arange(len(end))
+    for d in range(1, SHORT):
+        i = i[i + d < end[i]]
+        if not len(i):
+            return
+        yield i, i + d
+
+
+def allowed_places(n, rest, i, j):
+    """Can the rows reach the threshold, if they share nothing before this list's shingle?"""
+    return np.minimum(rest[i], rest[j]) >= needed_overlap(n[i], n[j])
+
+
+def partnered(cut: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which rows have a partner in their list; all rows of long lists count as such."""
+    rest, size = n - pos, np.diff(cut)
+    out = np.repeat(size > SHORT, size)
+    for i, j in near_rows(cut):
+        ok = allowed_places(n, rest, i, j)
+        out[i[ok]] = out[j[ok]] = True
+    return out
+
+
 def star_lists(lists: DataFrame, frequent, keep_single: bool) -> DataFrame:
-    """Each row of a list with the head of its size: (head, head_n, alone) beside its columns.
+    """Each row of a list with the head of its size: (head, head_n, salts) beside its columns.
 
     Rows come by size. The first row is a head; a row whose size doesn't fit the head is the next.
+    Rows that sizes and places allow no partner are left out. ``salts`` is the highest salt of the list.
     """
 
     def run(batches):
         tokens, _, blocks = frequent.value
-        split = tokens[blocks > 1] if len(tokens) else tokens
+        split, most = tokens[blocks > 1], blocks[blocks > 1] - 1
         for table in whole_lists(batches, ["token", "salt"]):
             # Copies from several partitions stand side by side.
             name = key_numbers(table["key"].combine_chunks())
             t, s = table["token"].to_numpy(), table["salt"].to_numpy()
             same = (t[1:] == t[:-1]) & (s[1:] == s[:-1]) & (name[1:] == name[:-1]).all(axis=1)
             table = table.filter(pa.array(np.r_[True, ~same]))
-            cut = bounds(table)
-            long = np.repeat(np.diff(cut), np.diff(cut))
-            take = long > 1
+            n, pos = (table[c].to_numpy().astype(np.int64) for c in ("n", "pos"))
+            take = partnered(bounds(table), n, pos)
+            salts = np.zeros(len(n), np.int32)
+            if len(split):
+                t = table["token"].to_numpy().view(np.uint64)
+                at = np.minimum(np.searchsorted(split, t), len(split) - 1)
+                salts = np.where(split[at] == t, most[at], 0).astype(np.int32)
             if keep_single:
-                take |= np.isin(table["token"].to_numpy().view(np.uint64), split)
-            table = table.filter(pa.array(take))
+                take |= salts > 0
+            table = table.append_column("salts", pa.array(salts)).filter(pa.array(take))
             if not table.num_rows:
                 continue
             cut, n = bounds(table), table["n"].to_numpy()
@@ -371,45 +409,140 @@ def star_lists(lists: DataFrame, frequent, keep_single: bool) -> DataFrame:
         "token", "salt", "n", "key"
     )
     return sorted_rows.mapInArrow(
-        run, "token long, salt int, key binary, n int, pos int, head binary, head_n int"
+        run, "token long, salt int, key binary, n int, pos int, salts int, head binary, head_n int"
     )
 
 
-def rest_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of one list and different components that sizes, places and signatures allow.
+def odd_buckets(sigs: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many buckets the parities of two rows differ, for rows i and j."""
+    size = np.array([len(s) for s in sigs])
+    least = np.minimum(size[i], size[j])
+    out = np.zeros(len(i), np.int64)
+    for width in np.unique(least).tolist():
+        at = np.flatnonzero(least == width)
+        rows, place = np.unique(np.r_[i[at], j[at]], return_inverse=True)
+        # The parts of a longer signature add up to a shorter one.
+        bits = np.stack(
+            [np.bitwise_xor.reduce(np.frombuffer(sigs[r], np.uint64).reshape(-1, width // 8)) for r in rows.tolist()]
+        )
+        for a in range(0, len(at), 1 << 14):
+            x, y = place[a : min(a + (1 << 14), len(at))], place[len(at) + a : len(at) + a + (1 << 14)]
+            out[at[a : a + len(x)]] = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1)
+    return out
+
+
+def rest_pairs(rows: DataFrame, whole: bool) -> DataFrame:
+    """Pairs (q, d, nq) of one list and different components that sizes, places and signatures allow.
 
-    A row with ``asks`` is compared with all of the block, the others only with those.
+    All of them if ``whole``. Else of each list the likeliest that connect what they all connect; where that
+    leaves some out, token names the list. Rows that are not ``own`` are not compared with each other.
+    A component without a name is that of the key alone.
     """
 
     def run(batches):
         for table in whole_lists(batches, ["token", "salt"]):
             cut = bounds(table)
-            n, pos = table["n"].to_numpy(), table["pos"].to_numpy()
-            asks, own = table["asks"].to_numpy(), table["own"].to_numpy()
-            key, sig, comp = (table[c].to_pylist() for c in ("key", "sig", "comp"))
-            found = set()
-            for a, b in zip(cut, cut[1:], strict=False):
-                for i in range(a, b):
-                    if not asks[i]:
-                        continue
-                    top = a + np.searchsorted(n[a:b], n[i] * DENOMINATOR // NUMERATOR, side="right")
+            n, pos = (table[c].to_numpy().astype(np.int64) for c in ("n", "pos"))
+            rest, own = n - pos, table["own"].to_numpy()
+            key, sig = table["key"].combine_chunks(), table["sig"].to_pylist()
+            comp = pc.coalesce(table["comp"].combine_chunks(), key).dictionary_encode().indices.to_numpy()
+            size = np.diff(cut)
+            of = np.repeat(np.arange(len(size)), size)
+            taken: list[tuple] = []
+
+            def likely(i, j):
+                """Those of the pairs that are possible, with the shares of shingles that differ."""
+                i, j = (x[(comp[i] != comp[j]) & (own[i] | own[j]) & allowed_places(n, rest, i, j)] for x in (i, j))
+                odd = odd_buckets(sig, i, j)
+                ok = (n[i] + n[j] - odd) // 2 >= needed_overlap(n[i], n[j])
+                return i[ok], j[ok], odd[ok] / (n[i] + n[j])[ok]
+
+            def connecting(i, j, far):
+                """Of the pairs of one list those that connect it, likeliest first; were others left out?"""
+                above: dict = {}
+
+                def top(x):
+                    while x in above:
+                        x = above[x]
+                    return x
+
+                kept = []
+                for at in np.argsort(far, kind="stable").tolist():
+                    x, y = top(comp[i[at]]), top(comp[j[at]])
+                    if x != y:
+                        above[x] = y
+                        kept.append(at)
+                return i[kept], j[kept], len(kept) < len(i)
+
+            pairs = [likely(i, j) for i, j in near_rows(cut)]
+            if pairs:
+                i, j, far = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                order = np.argsort(of[i], kind="stable")
+                i, j, far = i[order], j[order], far[order]
+                ends = np.flatnonzero(np.r_[True, of[i][1:] != of[i][:-1], True]) if len(i) else np.zeros(0, int)
+                for a, b in zip(ends, ends[1:], strict=False):
+                    if whole or b - a == 1:
+                        taken.append((i[a:b], j[a:b], False))
+                    else:
+                        taken.append(connecting(i[a:b], j[a:b], far[a:b]))
+            for a, b in zip(cut[:-1][size > SHORT], cut[1:][size > SHORT], strict=True):
+                if (comp[a:b] == comp[a]).all():
+                    continue
+                known: list = []
+                held, left = 0, False
+                for i in range(a + 1, b):
                     low = a + np.searchsorted(n[a:b], -(-n[i] * NUMERATOR // DENOMINATOR))
-                    at = np.arange(low, top)
-                    # What follows the common shingle bounds the overlap.
-                    most = np.minimum(n[i] - pos[i], n[at] - pos[at])
-                    at = at[own[at] & (most >= needed_overlap(n[i], n[at]))]
-                    for j in at.tolist():
-                        if comp[i] != comp[j] and (not asks[j] or key[i] < key[j]):
-                            pair = (min(key[i], key[j]), max(key[i], key[j]))
-                            if pair not in found and possible(sig[i], int(n[i]), sig[j], int(n[j])):
-                                found.add(pair)
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, BINARY) for x in zip(*sorted(found), strict=True)], ["q", "d"]
-                )
+                    known.append(likely(np.full(max(i - low, 0), i), np.arange(low, i)))
+                    held += len(known[-1][0])
+                    # What doesn't connect is left at once, so no list holds all its pairs.
+                    if held > LIST_ROWS or i == b - 1:
+                        x, y, far = (np.concatenate(c) for c in zip(*known, strict=True))
+                        if whole:
+                            taken.append((x, y, False))
+                            known, held = [], 0
+                            continue
+                        x, y, some = connecting(x, y, far)
+                        left |= some
+                        far = (n[x] + n[y]) * 0.0 if not len(x) else odd_buckets(sig, x, y) / (n[x] + n[y])
+                        known, held = [(x, y, far)], 0
+                if not whole:
+                    taken.append((known[0][0], known[0][1], left))
+            taken = [x for x in taken if len(x[0])]
+            if not taken:
+                continue
+            i, j = (np.concatenate([x[c] for x in taken]) for c in (0, 1))
+            left = np.repeat([x[2] for x in taken], [len(x[0]) for x in taken])
+            name = table["token"].to_numpy()[i]
+            a, b = key.take(pa.array(i)), key.take(pa.array(j))
+            turned = pc.less(a, b)
+            out = pa.table(
+                {
+                    "q": pc.if_else(turned, a, b),
+                    "d": pc.if_else(turned, b, a),
+                    "nq": np.where(turned.to_numpy(zero_copy_only=False), n[i], n[j]).astype(np.int32),
+                    "token": pa.array(name, mask=~left),
+                }
+            )
+            # Lists that stand together often hold the same pairs.
+            yield from out.group_by(["q", "d", "nq", "token"]).aggregate([]).to_batches()
 
     sorted_rows = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "key")
-    return sorted_rows.mapInArrow(run, "q binary, d binary")
+    return sorted_rows.mapInArrow(run, "q binary, d binary, nq int, token long")
+
+
+def rest_blocks(lists: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of the lists with signature and component; of salted lists some in every block."""
+    columns = ["token", "salt", "key", "n", "pos", "sig", "comp"]
+    plain = lists.where("salts = 0").join(known, "key").select(*columns, F.lit(True).alias("own"))
+    wide = lists.where("salts > 0").join(known, "key").withColumn("comp", F.coalesce("comp", "key"))
+    bulk = wide.groupBy("token", "comp").agg(F.count("*").alias("size")).groupBy("token").agg(
+        F.max(F.struct("size", "comp"))["comp"].alias("bulk")
+    )
+    others = F.filter(F.sequence(F.lit(0), F.col("salts")), lambda s: s != F.col("salt"))
+    asking = wide.join(bulk, "token").where("comp != bulk").withColumn("salt", F.explode(others))
+    return plain.unionByName(wide.select(*columns, F.lit(True).alias("own"))).unionByName(
+        asking.select(*columns, F.lit(False).alias("own"))
+    )
 
 
 # --- search ---------------------------------------------------------------------------------
@@ -560,7 +693,7 @@ def jaccard_links(docs: DataFrame, k: int = WORDS, doc_id: str = "doc_id", text:
     posted = postings(source, k, frequent)
     lists, lists_path = written(star_lists(posted, frequent, True), "lists")
     # Heads of salted lists are joined by a star of their own.
-    heads = lists.where("key = head").select("token", F.lit(0).alias("salt"), "key", "n", "pos")
+    heads = lists.where("key = head and salts > 0").select("token", F.lit(0).alias("salt"), "key", "n", "pos")
     between = star_lists(heads, frequent, False)
     stars = (
         lists.select("head", "head_n", "key", "n")
@@ -586,33 +719,26 @@ def jaccard_links(docs: DataFrame, k: int = WORDS, doc_id: str = "doc_id", text:
     )
     first = search(source, k, likely, texts)
     frequent.destroy()
-    found = components(first)
 
-    # Lists that still hold several components. Most hold one, and are left before anything else is joined.
-    known = sig.join(found, "key", "left").select("key", "sig", F.coalesce("comp", "key").alias("comp"))
-    placed, placed_path = written(
-        lists.select("token", "salt", "key", "n", "pos").join(known.select("key", "comp"), "key"), "placed"
-    )
+    # Lists that still hold several components.
+    links, asked, failed = first, lists, None
+    for whole in (False, True):
+        known = sig.join(components(links), "key", "left")
+        rest, rest_path = written(rest_pairs(rest_blocks(asked, known), whole), "rest")
+        left = rest.select("q", "d", "nq").distinct()
+        if failed is not None:
+            left = left.join(failed, ["q", "d"], "left_anti")
+        more = search(source, k, left, texts)
+        links = links.unionByName(more)
+        if whole:
+            break
+        failed = left.join(more, ["q", "d"], "left_anti").select("q", "d")
+        again = rest.where("token is not null").join(failed, ["q", "d"], "left_semi").select("token").distinct()
+        if again.isEmpty():
+            break
+        asked = lists.join(again, "token", "left_semi")
     drop_path(spark, lists_path)
-    several = placed.groupBy("token").agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("salt").alias("salts")
-    ).where("low != high").select("token", "salts")
-    held = placed.join(several, "token")
-    sizes = known.groupBy("comp").agg(F.count("*").alias("size"))
-    bulk = held.select("token", "comp").distinct().join(sizes, "comp").groupBy("token").agg(
-        F.max(F.struct("size", "comp"))["comp"].alias("bulk")
-    )
-    rows = held.join(bulk, "token").join(sig, "key").withColumn("asks", F.col("comp") != F.col("bulk"))
-    others = F.filter(F.sequence(F.lit(0), F.col("salts")), lambda s: s != F.col("salt"))
-    columns = ["token", "salt", "key", "n", "pos", "sig", "comp", "asks"]
-    asking = rows.where("asks and salts > 0").withColumn("salt", F.explode(others))
-    blocks = rows.select(*columns, F.lit(True).alias("own")).unionByName(
-        asking.select(*columns, F.lit(False).alias("own"))
-    )
-    left = rest_pairs(blocks).distinct().join(classes.select(F.col("key").alias("q"), F.col("n").alias("nq")), "q")
-    second = search(source, k, left, texts)
-    drop_path(spark, placed_path)
-    return profile, first.unionByName(second)
+    return profile, links
 
 
 def jaccard_components(
