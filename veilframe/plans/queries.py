@@ -2029,7 +2029,7 @@ def answers_reused(spark, sf):
 
 @query(
     "lexical_retrieval_many",
-    "WITH q AS (SELECT item_id AS question, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')[1:5])) AS term "
+    "WITH q AS (SELECT item_id AS question, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term "
     "FROM benchmark), w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents), "
     "s AS (SELECT count(*) AS n, avg(len(ws)) AS a FROM w), "
     "t AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM w) GROUP BY ALL), "
@@ -2043,6 +2043,6 @@ def lexical_retrieval_many(spark, sf):
     """The ten best documents for each of many questions, from a written index."""
     path = fresh_path(spark, "index")
     retrieval.write_index(C.table(spark, sf, "documents"), path)
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(retrieval.TOKEN), F.lit(0)), 1, 5)
+    words = F.regexp_extract_all(F.lower("text"), F.lit(retrieval.TOKEN), F.lit(0))
     asked = C.table(spark, sf, "benchmark").select(F.col("item_id").alias("question"), words.alias("terms"))
     return retrieval.bm25_many(asked, path).withColumn("score", F.round("score", 6))
