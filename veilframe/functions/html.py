@@ -45,13 +45,15 @@ def shown(part: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(tokens, f"&#60;(?={_NAME}&gt;)", "&lt;"), f"&#0(0*)60;(?={_NAME}&gt;)", "&#$160;")
 
 
-def html_changed(html: Column, changes: Column) -> Column:
+def _put_in(strings: Column, changes: Column) -> Column:
+    return F.transform(strings, lambda p: F.coalesce(F.element_at(changes, p), p))
+
+
+def html_changed(html: Column, changes: Column, put_in=_put_in) -> Column:
     """Markup with changed text parts, and tokens in them as markup."""
-    new = F.transform(text_parts(html), lambda p: hidden(F.coalesce(F.element_at(changes, p), p)))
-    return reassemble(new, tags(html))
+    return reassemble(F.transform(put_in(text_parts(html), changes), hidden), tags(html))
 
 
-def html_restored(html: Column, changes: Column) -> Column:
+def html_restored(html: Column, changes: Column, put_in=_put_in) -> Column:
     """Masked markup with changed text parts, as they are in the original."""
-    new = F.transform(text_parts(html), lambda p: F.coalesce(F.element_at(changes, shown(p)), shown(p)))
-    return reassemble(new, tags(html))
+    return reassemble(put_in(F.transform(text_parts(html), shown), changes), tags(html))

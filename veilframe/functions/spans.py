@@ -121,52 +121,85 @@ def overlap(a: str, b: str) -> str:
     return f"greatest({a}.st, {b}.st) < least({a}.st + {a}.ln, {b}.st + {b}.ln)"
 
 
-def resolve_overlaps(spans: str) -> str:
-    """Longest spans first, each kept if it touches none kept before; by start.
-
-    Spans of equal length are taken by start, then by the rank of their pattern.
-    """
+def _kept(items: str) -> str:
+    """Longest spans first, each kept if it touches none kept before; by start."""
     longest_first = (
-        "sort_array(transform(items, s -> "
+        f"sort_array(transform({items}, s -> "
         "named_struct('nl', -s.ln, 'st', s.st, 'pr', s.pr, 's', s)))"
     )
     kept = (
         f"aggregate({longest_first}, {NO_SPANS}, (acc, x) -> "
         f"if(exists(acc, k -> {overlap('k', 'x.s')}), acc, concat(acc, array(x.s))))"
     )
+    return f"sort_array({kept})"
+
+
+def resolve_overlaps(spans: str) -> str:
+    """Longest spans first, each kept if it touches none kept before; by start.
+
+    Spans of equal length are taken by start, then by the rank of their pattern. Many spans are
+    cut where none reaches over, once in each block of them, and compared inside the stretches only.
+    """
     apart = (
         "not exists(zip_with(slice(o, 1, size(o) - 1), slice(o, 2, size(o)), "
         "(x, y) -> x.st + x.ln > y.st), z -> z)"
     )
-    by_start = let("sort_array(items)", "o", f"if(size(o) < 2 or {apart}, o, sort_array({kept}))")
+    blocks = f"transform(sequence(0, (size(o) - 1) div {PIECES}), i -> slice(o, cast(i as int) * {PIECES} + 1, {PIECES}))"
+    ends = "transform(bs, b -> array_max(transform(b, s -> s.st + s.ln)))"
+    reached = (
+        "aggregate(es, named_struct('m', 0, 'out', cast(array() as array<int>)), (a, e) -> "
+        "named_struct('m', greatest(a.m, e), 'out', concat(a.out, array(a.m))), a -> a.out)"
+    )
+    # The first span of a block that begins where all before it have ended.
+    first = (
+        "aggregate(b, named_struct('m', m, 'j', 0, 'at', cast(null as int)), (a, s) -> "
+        "named_struct('m', greatest(a.m, s.st + s.ln), 'j', a.j + 1, "
+        "'at', coalesce(a.at, if(s.st >= a.m, a.j, null))), a -> a.at)"
+    )
+    firsts = f"zip_with(bs, rs, (b, m) -> {first})"
+    cuts = f"filter(transform(fs, (f, i) -> f + i * {PIECES}), c -> c is not null)"
+    stretch = "slice(o, c + 1, if(k + 1 < size(cs), cs[k + 1], size(o)) - c)"
+    each = f"flatten(transform(cs, (c, k) -> {let(stretch, 'w', _kept('w'))}))"
+    many = let(blocks, "bs", let(let(ends, "es", reached), "rs", let(let(firsts, "fs", cuts), "cs", each)))
+    by_start = let(
+        "sort_array(items)", "o",
+        f"if(size(o) < 2 or {apart}, o, if(size(o) <= {PIECES}, {_kept('items')}, {many}))",
+    )
     return let(spans, "items", f"if(size(items) < 1, items, {by_start})")
 
 
 def splice(text: str, pieces: str) -> str:
     """Replace spans of ``text``; ``pieces`` has st, ln, rep and is sorted by st.
 
-    Pieces are taken some at a time, so that a long text is not walked through
-    from its beginning for each of them.
+    Pieces are taken some at a time, and very many in stretches of such, so that a long text is
+    not walked through from its beginning for each of them.
     """
-    # The stretch of text that ends with the last piece of the block.
-    begin = "if(i = 0, 0, s.p[i - 1].st + s.p[i - 1].ln)"
-    last = f"s.p[least(i + {PIECES}, size(s.p)) - 1]"
-    stretch = (
-        f"named_struct('base', {begin}, 'p', slice(s.p, i + 1, {PIECES}), 't', "
-        f"substring(s.t, {begin} + 1, {last}.st + {last}.ln - {begin}))"
-    )
+
+    def stretch(s: str, size: int) -> str:
+        # The stretch of text that ends with the last piece of the block.
+        begin = f"if(i = 0, {s}.base, {s}.p[i - 1].st + {s}.p[i - 1].ln)"
+        last = f"{s}.p[least(i + {size}, size({s}.p)) - 1]"
+        return (
+            f"named_struct('base', {begin}, 'p', slice({s}.p, i + 1, {size}), 't', "
+            f"substring({s}.t, {begin} - {s}.base + 1, {last}.st + {last}.ln - {begin}))"
+        )
+
+    def in_blocks(s: str, size: int, name: str, body: str) -> str:
+        done = let(stretch(s, size), name, body)
+        return f"array_join(transform(sequence(0, size({s}.p) - 1, {size}), i -> {done}), '')"
+
     before = "if(j = 0, 0, b.p[j - 1].st + b.p[j - 1].ln - b.base)"
     filled = (
         "array_join(transform(b.p, (x, j) -> concat("
         f"substring(b.t, {before} + 1, x.st - b.base - {before}), x.rep)), '')"
     )
-    blocks = f"transform(sequence(0, size(s.p) - 1, {PIECES}), i -> {let(stretch, 'b', filled)})"
+    few, many = in_blocks("s", PIECES, "b", filled), in_blocks("s", PIECES**2, "w", in_blocks("w", PIECES, "b", filled))
     end = "s.p[size(s.p) - 1].st + s.p[size(s.p) - 1].ln"
     return let(
-        f"named_struct('t', {text}, 'p', {pieces})",
+        f"named_struct('base', 0, 't', {text}, 'p', {pieces})",
         "s",
         "if(coalesce(size(s.p), 0) < 1, s.t, "
-        f"concat(array_join({blocks}, ''), substring(s.t, {end} + 1)))",
+        f"concat(if(size(s.p) <= {PIECES**2}, {few}, {many}), substring(s.t, {end} + 1)))",
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.text import masked_name, restored_name
 from veilframe.plans.jobs import MaskResult, mask_rows, restore_rows
 from veilframe.shared import staged
+from veilframe.sources import leaves
 from veilframe.sources import sessions as Sess
 from veilframe.sources.containers import OFFICE
 from veilframe.sources.readers import name_of, read_documents, rewritten
@@ -31,7 +32,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def _written(rows: DataFrame, out: str, named, unread: DataFrame, masked: bool) -> DataFrame:
-    kept = F.transform("leaves", lambda x: F.coalesce(F.element_at("changes", x), x))
+    kept = leaves.put_in(F.col("leaves"), F.col("changes"))
     name = named(F.col("member"))
     # What cannot be written in its own format is written as lines of text.
     name = F.when(F.col("kind").isin(*OFFICE), F.concat(name, F.lit(".txt"))).otherwise(name)

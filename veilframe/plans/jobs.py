@@ -141,7 +141,7 @@ def mask(
     if existing is not None:
         entities = fresh.unionByName(E.known_values(found, existing), allowMissingColumns=True)
     used = used_tokens(hits, entities)
-    done = apply_tokens(hits, used, text, "masked_text")
+    done = apply_tokens(hits, entities, text, "masked_text")
     clean = searched.where("not hit").withColumns(
         {"masked_text": F.col(text), "map_size": F.lit(0)}
     )

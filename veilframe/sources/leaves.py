@@ -64,6 +64,31 @@ def with_changes(kind: T.DataType, value: Column, changes: Column) -> Column:
     return value
 
 
+# So many comparisons of a row's strings with its changes are made in the row itself.
+LOOKUPS = 65_536
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _looked_up(strings: pd.Series, changes: pd.Series) -> pd.Series:
+    def one(s, c):
+        if s is None or c is None:
+            return None
+        known = dict(c)
+        return [x if known.get(x) is None else known[x] for x in s]
+
+    return pd.Series([one(s, c) for s, c in zip(strings, changes, strict=True)], dtype="object")
+
+
+def put_in(strings: Column, changes: Column) -> Column:
+    """``strings`` with each that ``changes`` knows replaced.
+
+    A map is searched from its beginning for every string, so a row with many of both goes through a dictionary.
+    """
+    many = F.coalesce(F.size(strings).cast("bigint") * F.size(changes) > LOOKUPS, F.lit(False))
+    few = F.transform(strings, lambda x: F.coalesce(F.element_at(changes, x), x))
+    return F.when(many, _looked_up(F.when(many, strings), F.when(many, changes))).otherwise(few)
+
+
 def row_strings(df: DataFrame, columns: list[str]) -> Column:
     """The strings of several columns of a row."""
     kinds = {f.name: f.dataType for f in df.schema.fields}

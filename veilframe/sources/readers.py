@@ -181,8 +181,9 @@ def rewritten(kind: Column, content: Column, strings: Column, changes: Column, m
 
     ``masked`` says that the content was masked and its strings are being restored.
     """
-    new = F.transform(strings, lambda x: F.coalesce(F.element_at(changes, x), x))
-    done = html.html_restored(content, changes) if masked else html.html_changed(content, changes)
+    new = leaves.put_in(strings, changes)
+    markup = F.when(kind == "html", content)
+    done = html.html_restored(markup, changes, leaves.put_in) if masked else html.html_changed(markup, changes, leaves.put_in)
     found = (
         F.when(kind == "text", F.coalesce(F.element_at(changes, content), content))
         .when(kind == "html", done)
